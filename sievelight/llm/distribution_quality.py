@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, base, window_hashes, word_hashes, written
+from .common import WordHashes, base, by_ids, window_hashes, word_hashes, written
 
 #: Frequent function words of four languages.
 COMMON_WORDS = {
@@ -50,7 +50,6 @@ def measure(text: str, lang: str | None, memo: WordHashes) -> tuple:
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     inked = codes[~blank]
     bins = np.bincount(LETTER_BINS[np.minimum(inked, 255)], minlength=len(CLASSES) + 1)
-    bins[len(CLASSES)] += 0
     lines: dict[str, int] = {}
     doubled = 0
     for line in text.split("\n"):
@@ -137,3 +136,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     out = both.withColumn("class_distance", far_classes).withColumn("common_distance", far_common)
     kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("common_distance", F.lit(0.0)) <= MOST_COMMON)
     return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", kept.alias("kept"))
+
+
+def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``df`` that judge() keeps, all columns as they are."""
+    return by_ids(df, written(judge(df, key, text, lang).filter("not kept").select(key)), key, keep=False)

@@ -9,7 +9,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_recipes, distribution_quality, jump_sharding, online_packing, speculative_bpe, token_transducer
+from . import (
+    chosen_path,
+    chunk_recipes,
+    disclosure,
+    distribution_quality,
+    host_suffixes,
+    jump_sharding,
+    online_packing,
+    secret_forest,
+    speculative_bpe,
+    token_transducer,
+)
 
 
 def vocabulary_file(name: str) -> str:
@@ -27,6 +38,10 @@ def op1_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_suffixes.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -35,6 +50,10 @@ def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
 
@@ -43,20 +62,22 @@ def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speculative_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), speculative_bpe.PATTERN)
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_distribution_quality": op1_distribution_quality,
-        "op3_jump_sharding": op3_jump_sharding,
-        "op4_chunk_recipes": op4_chunk_recipes,
-        "op6_online_packing": op6_online_packing,
-        "op7_speculative_bpe": op7_speculative_bpe,
-        "op9_token_transducer": op9_token_transducer,
-    }
+    found = [op1_distribution_quality, op2_host_suffixes, op3_jump_sharding, op4_chunk_recipes, op5_chosen_path, op6_online_packing, op7_speculative_bpe, op8_secret_forest, op9_token_transducer, op10_disclosure]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": jump_sharding.oracle(24), "op4_chunk_recipes": chunk_recipes.ORACLE}
+    return {"op3_jump_sharding": jump_sharding.oracle(24), "op4_chunk_recipes": chunk_recipes.ORACLE, "op5_chosen_path": chosen_path.ORACLE}
