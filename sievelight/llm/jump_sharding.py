@@ -55,22 +55,22 @@ def jump_shard(key: Column, n: int) -> Column:
     return F.element_at(jump_walk(key, n), -1).cast("int")
 
 
-def assign_shards(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", rows_per_block: int = 8192) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", rows_per_block: int = 4096) -> DataFrame:
     """One row per row of ``df``: key, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the UTF-8 bytes of the text plus 8; a null text counts as none (its CRC is 0), a null
     key is placed as -1 and keeps its null.  ``slot`` numbers the rows of a shard from 0 without gaps
-    in the order (first state of the walk, key, size, CRC), so it doesn't depend on partitions; equal
+    in the order (MD5 of the key, key, size, CRC), so it doesn't depend on partitions; equal
     rows take neighbouring slots.  An empty table gives an empty table.
 
     Numbering is two-level: rows are numbered inside (shard, block), blocks being equal slices of the
-    state's range with about ``rows_per_block`` rows, and a block's start is the running total of
+    MD5's range with about ``rows_per_block`` rows over all shards, and a block's start is the running total of
     the counts before it.  No task holds a shard.  All hot groups (source, equal texts) are spread, as
     only the key decides.
     """
     rows = base(df, key, text)
     blocks = 1 << max(0, math.ceil(math.log2(max(1, row_count(rows.select(key))) / rows_per_block)))
-    state = _next_state(_unsigned(F.col(key)))
+    order = F.md5(F.coalesce(F.col(key), F.lit(-1)).cast("string"))
     walk = jump_walk(F.col(key), shards + 1)
     utf8 = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
 
@@ -79,15 +79,15 @@ def assign_shards(df: DataFrame, shards: int = 24, key: str = "doc_id", text: st
             "*",
             F.element_at(F.filter("_walk", lambda b: b < shards), -1).cast("int").alias("shard"),
             F.element_at("_walk", -1).cast("int").alias("grown_shard"),
-            F.floor(F.col("_state") / _whole(TWO_64 // blocks)).cast("bigint").alias("_block"),
+            F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") / F.lit((1 << 32) // blocks)).cast("bigint").alias("_block"),
         ).drop("_walk")
 
-    keyed = rows.select(F.col(key), (F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint") + 8).alias("size"), F.crc32(utf8).alias("text_crc32"), state.alias("_state"), walk.alias("_walk"))
+    keyed = rows.select(F.col(key), (F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint") + 8).alias("size"), F.crc32(utf8).alias("text_crc32"), order.alias("_order"), walk.alias("_walk"))
     sized = placed(keyed)
-    counts = placed(rows.select(F.col(key), state.alias("_state"), walk.alias("_walk"))).groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed(rows.select(F.col(key), order.alias("_order"), walk.alias("_walk"))).groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_block").orderBy("_state", key, "size", "text_crc32")
+    inside = Window.partitionBy("shard", "_block").orderBy("_order", key, "size", "text_crc32")
     numbered = sized.withColumn("_row", F.row_number().over(inside))
     return numbered.join(starts, ["shard", "_block"]).select(
         key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_row") - 1).cast("bigint").alias("slot"), "grown_shard"
@@ -120,7 +120,7 @@ shards AS (
   SELECT rid, max(b) FILTER (WHERE b < {shards}) AS shard, max(b) AS grown_shard FROM walk WHERE b <= {shards} GROUP BY rid)
 SELECT d.doc_id, d.size, d.shard, d.slot, d.grown_shard, 'key' AS law, d.text_crc32 FROM (
   SELECT d.doc_id, d.size, CAST(s.shard AS INTEGER) AS shard, CAST(s.grown_shard AS INTEGER) AS grown_shard,
-         row_number() OVER (PARTITION BY s.shard ORDER BY (d.k * {MULTIPLIER} + 1) % 18446744073709551616, d.doc_id, d.size) - 1 AS slot,
+         row_number() OVER (PARTITION BY s.shard ORDER BY md5(CAST(coalesce(d.doc_id, -1) AS VARCHAR)), d.doc_id, d.size, c.text_crc32) - 1 AS slot,
          c.text_crc32
   FROM d JOIN shards s USING (rid) JOIN crcs c USING (rid)) d
 """
