@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, text, vectors
+from .functions.lineage import cut
 from .lexicon import LATIN
 from .operators import chunking, cleaning, enrich, fulltext, judging, quality, search, store
 from .plans import rules
@@ -293,13 +294,13 @@ def feature_score(spark, sf):
 def search_hits(spark, sf):
     docs = documents(spark, sf)
     plan = QueryPlan("license of the", retrieval_keywords=["license", "tion"], expanded_queries=["the blehe"], time_scope="current")
-    return search.search(docs, chunking.indexed(docs, LATIN), plan, AS_OF, limit=24, pack=LATIN).select("rank", "document_id", "chunk_id", "score", "note")
+    return search.search(docs, cut(chunking.indexed(docs, LATIN)), plan, AS_OF, limit=24, pack=LATIN).select("rank", "document_id", "chunk_id", "score", "note")
 
 
-@query("SELECT c_custkey, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND (contains(n_name, 'UNITED') OR contains('UNITED', n_name))")
+@query("SELECT c_custkey, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND (contains(n_name, 'NATION_1') OR contains('NATION_1', n_name))")
 def audience_match(spark, sf):
     customers = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return customers.filter(search.audience_match(F.array("n_name"), "UNITED")).select("c_custkey", "n_name")
+    return customers.filter(search.audience_match(F.array("n_name"), "NATION_1")).select("c_custkey", "n_name")
 
 
 @query("""SELECT r_regionkey AS id, r_name AS slug, count(DISTINCT n_nationkey) AS n_sources, count(DISTINCT c_custkey) AS n_documents, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS latest

@@ -56,7 +56,12 @@ def deduped(terms: Column, limit: int | None = None) -> Column:
 def grams(run: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """All n-grams of a run, size by size."""
     none = F.array().cast("array<string>")
-    return F.concat(*(F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i, n=n: F.substring(run, i, F.lit(n)))).otherwise(none) for n in sizes))
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, F.lit(n)))
+        return F.when(F.length(run) >= n, cut).otherwise(none)
+
+    return F.concat(*map(of, sizes))
 
 
 def run_terms(text: Column, pattern: str) -> Column:

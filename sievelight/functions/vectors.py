@@ -38,10 +38,10 @@ def hash_embeddings(df: DataFrame, key: str, text: str, dimensions: int = DIMENS
     index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimensions
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     sums = counts.select(key, index.alias("i"), (sign * F.log1p("n")).alias("w")).groupBy(key, "i").agg(F.sum("w").alias("w"))
-    sparse = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0)))
+    sparse = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.round(F.try_element_at("m", i.cast("bigint")) / F.nullif("norm", F.lit(0.0)), 6), F.lit(0.0)))
     zero = F.array_repeat(F.lit(0.0), dimensions)
-    return df.select(key).join(sparse.select(key, normalised(dense).alias("vector")), key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
+    return df.select(key).join(sparse.select(key, dense.alias("vector")), key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
 
 
 def is_current(embedding: Column, provider: str, model: str, dimensions: int = DIMENSIONS) -> Column:
