@@ -45,6 +45,14 @@ def column(df: DataFrame, name: str):
     return df[f"`{name}`"]
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def base(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with those made later."""
     return df.select(*(column(df, n).alias(n) for n in names))
@@ -112,6 +120,7 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, most_broadcast:
 
     The ids are broadcast only when counted to be at most ``most_broadcast`` (8 MB of longs); more are joined by a shuffle.
     """
-    named = ids.toDF("_id").distinct()
+    name = fresh(df, "_id")
+    named = ids.toDF(name).distinct()
     side = F.broadcast(named) if row_count(ids) <= most_broadcast else named
-    return df.join(side, column(df, key).eqNullSafe(F.col("_id")), "left_semi" if keep else "left_anti")
+    return df.join(side, column(df, key).eqNullSafe(named[name]), "left_semi" if keep else "left_anti")

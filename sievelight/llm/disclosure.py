@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base, by_ids, row_count, written
+from .common import base, by_ids, column, fresh, row_count, written
 from .spans import SPAN, masked, matches, no_spans
 
 #: The kinds in their order.  Look-behinds and possessive quantifiers only keep the search linear; the matches are those of the plain patterns.
@@ -136,9 +136,11 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with every span in the text replaced by the upper-case name of its kind in brackets; rows without spans as they are."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    spans = written(find(df, key, text).filter(F.size("all_spans") > 0).select(F.col(key).alias("_key"), F.col("all_spans").alias("_spans")).dropDuplicates(["_key"]))
-    rest = by_ids(df, spans.select("_key"), key, keep=False)
-    hit = df.join(spans, df[f"`{key}`"] == F.col("_key")).withColumn(text, masked(F.col(text), F.col("_spans"), lambda s: F.get(names, s["kind"]))).drop("_key", "_spans")
+    at, held = fresh(df, "_key"), fresh(df, "_spans")
+    spans = written(find(df, key, text).filter(F.size("all_spans") > 0).select(F.col(key).alias(at), F.col("all_spans").alias(held)).dropDuplicates([at]))
+    rest = by_ids(df, spans.select(at), key, keep=False)
+    hit = df.join(spans, column(df, key) == spans[at])
+    hit = hit.withColumn(text, masked(column(df, text), F.col(held), lambda s: F.get(names, s["kind"]))).drop(at, held)
     return rest.unionByName(hit)
 
 

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base, by_ids, written
+from .common import base, by_ids, column, fresh, written
 from .spans import masked, matches
 
 #: A candidate: a run of key characters, long or behind a name and a sign, with a digit in it (the look-ahead), or a key block.
@@ -146,11 +146,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: RandomFo
 
 def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``df`` with each secret replaced by ``[SECRET]``, and ``length``, if ``df`` has it, set anew for those rows."""
+    at, held = fresh(df, "_key"), fresh(df, "_spans")
     spans = scan(df, key, text).filter("is_secret").select(key, "start", "end").distinct()
-    spans = written(spans.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")))
-    rest = by_ids(df, spans.select("_key"), key, keep=False)
-    hit = df.join(spans, df[f"`{key}`"] == F.col("_key"))
-    hit = hit.withColumn(text, masked(F.col(text), F.col("_spans"), lambda s: F.lit("[SECRET]"))).drop("_key", "_spans")
+    spans = written(spans.groupBy(F.col(key).alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(held)))
+    rest = by_ids(df, spans.select(at), key, keep=False)
+    hit = df.join(spans, column(df, key) == spans[at])
+    hit = hit.withColumn(text, masked(column(df, text), F.col(held), lambda s: F.lit("[SECRET]"))).drop(at, held)
     if length and length in df.columns:
-        hit = hit.withColumn(length, F.length(text).cast(dict(df.dtypes)[length]))
+        hit = hit.withColumn(length, F.length(column(hit, text)).cast(dict(df.dtypes)[length]))
     return rest.unionByName(hit)
