@@ -9,6 +9,7 @@ guarded: a histogram is compared only above a least length.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ MOST_CLASSES, MOST_COMMON = 0.30, 0.62
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
-LETTER_BINS = np.full(256, len(CLASSES), np.int64)
+#: The bin of each character up to U+00FF, and at 256 that of all others.
+LETTER_BINS = np.full(257, len(CLASSES), np.int64)
 for _k, _pattern in enumerate(CLASSES):
     for _c in range(256):
         if _pattern.match(chr(_c)):
@@ -49,7 +51,7 @@ def measure(text: str, lang: str | None, memo: WordHashes) -> tuple:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     inked = codes[~blank]
-    bins = np.bincount(LETTER_BINS[np.minimum(inked, 255)], minlength=len(CLASSES) + 1)
+    bins = np.bincount(LETTER_BINS[np.minimum(inked, 256)], minlength=len(CLASSES) + 1)
     lines: dict[str, int] = {}
     doubled = 0
     for line in text.split("\n"):
@@ -67,11 +69,12 @@ def measure(text: str, lang: str | None, memo: WordHashes) -> tuple:
             np.add.at(edge, again + 5, -1)
             repeated = int((np.cumsum(edge)[:n] > 0).sum())
     common = COMMON_WORDS.get(lang or "", "").split()
-    low = text.lower().split()
-    places = {w: i for i, w in enumerate(common)}
+    places = {w.encode(): i for i, w in enumerate(common)}
     hits = np.zeros(len(common) + 1, np.int64)
-    for w in low:
-        hits[places.get(w, -1)] += 1
+    counted = Counter(raw.lower().split())
+    for w, i in places.items():
+        hits[i] = counted.get(w, 0)
+    hits[-1] = n - hits.sum()
     return n, int(len(inked)), len(SYMBOL.findall(text)), doubled, repeated, bins.tolist(), hits.tolist()
 
 
@@ -133,7 +136,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     far_classes = F.when(F.col("n_words") >= LEAST_CLASSES, divergence(F.col("classes"), F.col("ref_classes")))
     named = F.size("common") > 1
     far_common = F.when((F.col("n_words") >= LEAST_COMMON) & named, divergence(F.col("common"), F.slice("ref_common", 1, F.size("common"))))
-    out = both.withColumn("class_distance", far_classes).withColumn("common_distance", far_common)
+    out = both.withColumn("class_distance", F.round(far_classes, 6)).withColumn("common_distance", F.round(far_common, 6))
     kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("common_distance", F.lit(0.0)) <= MOST_COMMON)
     return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", kept.alias("kept"))
 
@@ -141,3 +144,46 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that judge() keeps, all columns as they are."""
     return by_ids(df, written(judge(df, key, text, lang).filter("not kept").select(key)), key, keep=False)
+
+
+def oracle() -> str:
+    """The same in DuckDB."""
+    lists = " ".join(f"WHEN '{g}' THEN [{', '.join(repr(w) for w in dict.fromkeys(words.split()))}]" for g, words in COMMON_WORDS.items())
+    patterns = [p.pattern for p in CLASSES]
+    bins = ", ".join(f"length(regexp_replace(inked, '[^{p[1:-1].replace(chr(39), chr(39) * 2)}]', '', 'g'))" for p in patterns)
+    widest = 1 + max(len(w.split()) for w in COMMON_WORDS.values())
+
+    def distance(p: str, q: str) -> str:
+        x, y = f"({p}[i] / list_sum({p}))", f"({q}[i] / list_sum({q}))"
+        half = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({x} + {y}) / 2)) ELSE 0 END"
+        return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN round(sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: ({half(x)} + {half(y)}) / 2)))), 6) END"
+
+    return f"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+         regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS inked, CASE lang {lists} ELSE [] END AS listed
+  FROM documents),
+h AS (
+  SELECT *, translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, [{bins}] AS bins FROM d),
+lines AS (
+  SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM (SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d))),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(5) r(k) WHERE c > 1 GROUP BY doc_id),
+f AS (
+  SELECT h.doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, length(inked) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+         list_append(bins, length(inked) - CAST(list_sum(bins) AS BIGINT)) AS classes,
+         list_transform(listed, lambda x: len(list_filter(string_split(low, ' '), lambda y: y = x))) AS hits
+  FROM h LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+g AS (
+  SELECT *, list_append(hits, n_words - coalesce(CAST(list_sum(hits) AS BIGINT), 0)) AS common, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM f),
+refs AS (
+  SELECT lang, [{", ".join(f"sum(classes[{i + 1}])" for i in range(len(CLASSES) + 1))}] AS ref_classes, [{", ".join(f"coalesce(sum(common[{i + 1}]), 0)" for i in range(widest))}] AS ref_all
+  FROM g WHERE NOT base_failed GROUP BY lang),
+j AS (SELECT g.*, ref_classes, ref_all[1 : len(common)] AS ref_common FROM g LEFT JOIN refs ON g.lang IS NOT DISTINCT FROM refs.lang),
+k AS (
+  SELECT *, CASE WHEN n_words >= {LEAST_CLASSES} THEN {distance("classes", "ref_classes")} END AS class_distance,
+         CASE WHEN n_words >= {LEAST_COMMON} AND len(common) > 1 THEN {distance("common", "ref_common")} END AS common_distance FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance,
+       NOT base_failed AND coalesce(class_distance, 0) <= {MOST_CLASSES} AND coalesce(common_distance, 0) <= {MOST_COMMON} AS kept FROM k
+"""

@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": jump_sharding.oracle(24), "op4_chunk_recipes": chunk_recipes.ORACLE, "op5_chosen_path": chosen_path.ORACLE}
+    return {"op1_distribution_quality": distribution_quality.oracle(), "op3_jump_sharding": jump_sharding.oracle(24), "op4_chunk_recipes": chunk_recipes.ORACLE, "op5_chosen_path": chosen_path.ORACLE}
