@@ -9,6 +9,7 @@ number of tasks' leftovers, by the same rule.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,38 +19,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vocabulary
 from .common import base, written
 
-#: Distinct blank-separated words that a Python worker remembers; then it forgets all.
+#: Distinct pieces that a Python worker remembers; then it forgets all.
 MEMO = 500_000
 #: Open windows of a task, and the number of tasks whose leftovers meet in one.
 WINDOWS, MEET = 64, 16
 
 
+#: Letters up to U+024F, and a character beyond them, for which the general way is needed.
+LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
+NOT_LATIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+#: What the file's split pattern comes to in lower-case Latin texts.
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
+
+
 class WordIds:
-    """Ids of whole texts by the tokenizers library, word by word: the file's tokenizer drops white space and never looks across a blank."""
+    """Ids of whole texts as the tokenizers library gives them, by the distinct pieces of many texts at once.
+
+    Texts with characters beyond Latin, or with an opening of a special token, go to the library itself.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.bpe = vocabulary.load_word_end(file)
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plan = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*plan)
+        lower = [t.lower() for t in texts]
+        plan = [None if NOT_LATIN.search(t) or "<|" in t else PIECES.findall(t) for t in lower]
+        seen = set().union(*(p for p in plan if p))
         unknown = [w for w in seen if w not in self.memo]
         if len(self.memo) + len(unknown) > MEMO:
             self.memo, unknown = {}, list(seen)
-        for i in range(0, len(unknown), 20_000):
-            part = unknown[i : i + 20_000]
-            found = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
         memo = self.memo
-        return [np.frombuffer(b"".join([memo[w] for w in words]), "<u4") for words in plan]
+        memo.update(zip(unknown, self.bpe.encode_words([w.encode() for w in unknown]), strict=True))
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if p is None else np.frombuffer(b"".join([memo[w] for w in p]), "<u4") for t, p in zip(texts, plan, strict=True)]
 
 
 class Packer:

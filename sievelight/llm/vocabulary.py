@@ -56,6 +56,41 @@ class Table:
         return out
 
 
+def merge_all(bpe, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact BPE of many words at once: in each round every word applies its merge of least rank, leftmost first.
+
+    ``ids`` are the first symbols of all words in a row and ``owner`` their words; as a merge's halves have lower ranks, all
+    merges of one rank can be applied together.
+    """
+    done: list[np.ndarray] = []
+    done_owner: list[np.ndarray] = []
+    while len(ids):
+        rank = np.full(len(ids), NEVER, np.int64)
+        same = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[same] = bpe.pair_ranks.get(ids[same] * bpe.size + ids[same + 1])
+        heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        least = np.minimum.reduceat(rank, heads)
+        counts = np.diff(np.r_[heads, len(ids)])
+        spread = np.repeat(least, counts)
+        over = spread == NEVER
+        hit = (rank == spread) & ~over
+        # in a run of overlapping pairs (a a a) every second one merges, from the left
+        where = np.flatnonzero(hit)
+        if len(where):
+            new_run = np.r_[True, np.diff(where) > 1]
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
+            where = where[(np.arange(len(where)) - run_start) % 2 == 0]
+            ids[where] = bpe.whole_of_rank[rank[where]]
+        stay = ~over
+        stay[where + 1] = False
+        done.append(ids[over])
+        done_owner.append(owner[over])
+        ids, owner = ids[stay], owner[stay]
+    tokens, words = np.concatenate(done or [ids[:0]]), np.concatenate(done_owner or [owner[:0]])
+    order = np.argsort(words, kind="stable")
+    return tokens[order], words[order]
+
+
 class ByteBPE:
     """Vocabulary and merges of a byte-level BPE file whose merges are listed by rank.
 
@@ -188,35 +223,8 @@ class ByteBPE:
         return tokens[order], owner[order]
 
     def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact BPE of many words at once: in each round every word applies its merge of least rank, leftmost first."""
-        ids, owner = self.byte_ids[data], np.repeat(np.arange(len(starts)), ends - starts)
-        done: list[np.ndarray] = []
-        done_owner: list[np.ndarray] = []
-        while len(ids):
-            rank = np.full(len(ids), NEVER, np.int64)
-            same = np.flatnonzero(owner[1:] == owner[:-1])
-            rank[same] = self.pair_ranks.get(ids[same] * self.size + ids[same + 1])
-            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.minimum.reduceat(rank, heads)
-            counts = np.diff(np.r_[heads, len(ids)])
-            spread = np.repeat(least, counts)
-            over = spread == NEVER
-            hit = (rank == spread) & ~over
-            # in a run of overlapping pairs (a a a) every second one merges, from the left
-            where = np.flatnonzero(hit)
-            if len(where):
-                new_run = np.r_[True, np.diff(where) > 1]
-                run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
-                where = where[(np.arange(len(where)) - run_start) % 2 == 0]
-                ids[where] = self.whole_of_rank[rank[where]]
-            stay = ~over
-            stay[where + 1] = False
-            done.append(ids[over])
-            done_owner.append(owner[over])
-            ids, owner = ids[stay], owner[stay]
-        tokens, words = np.concatenate(done or [data[:0]]), np.concatenate(done_owner or [starts[:0]])
-        order = np.argsort(words, kind="stable")
-        return tokens[order], words[order]
+        """Exact BPE of many words at once: tokens in order, and the word of each."""
+        return merge_all(self, self.byte_ids[data], np.repeat(np.arange(len(starts)), ends - starts))
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For each pair of neighbouring tokens: would exact merging of their bytes end in this very pair?
@@ -275,3 +283,44 @@ class ByteBPE:
 @functools.lru_cache(maxsize=4)
 def load(file: str) -> ByteBPE:
     return ByteBPE(file)
+
+
+class WordEndBPE:
+    """A byte-level BPE whose last symbol of a word carries an end mark; words come without white space."""
+
+    def __init__(self, file: str):
+        data = json.load(open(file))
+        vocab, end = data["model"]["vocab"], data["model"]["end_of_word_suffix"]
+        self.size = max(vocab.values()) + 1
+        keys, wholes, rank_of = [], [], {}
+        for rank, pair in enumerate(data["model"]["merges"]):
+            one, two = pair.split(" ") if isinstance(pair, str) else pair
+            if max(rank_of.get(one, -1), rank_of.get(two, -1)) >= rank:
+                raise ValueError("a merge comes before one of its halves")
+            rank_of.setdefault(one + two, rank)
+            keys.append(vocab[one] * self.size + vocab[two])
+            wholes.append(vocab[one + two])
+        self.pair_ranks = Table(np.array(keys, np.int64), np.arange(len(keys)), NEVER)
+        self.whole_of_rank = np.array(wholes, np.int64)
+        letters = {b: c for c, b in byte_letters().items()}
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each non-empty word, as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.inner[data]
+        ends = np.cumsum(lengths)
+        ids[ends - 1] = self.last[data[ends - 1]]
+        tokens, owner = merge_all(self, ids, np.repeat(np.arange(len(words)), lengths))
+        blob = tokens.astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+@functools.lru_cache(maxsize=4)
+def load_word_end(file: str) -> WordEndBPE:
+    return WordEndBPE(file)
