@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # Fixed values of the Chinese pack.
-STOPWORDS = ["关于", "通知", "工作", "进行", "相关", "有关", "根据", "学校", "学生", "各位", "各院", "各学院", "东南大学"]
+STOPWORDS = ["关于", "通知", "工作", "进行", "相关", "有关", "根据", "学校", "学生", "各位", "各院", "各学院"]
 DOMAIN_TERMS = ["四六级", "CET", "转专业", "专业调整", "校历", "缓考", "补考", "评教", "辅修", "选课", "成绩复核", "成绩单", "毕业审核", "推免", "保研", "奖学金", "培养方案", "考试安排", "申请表", "报名", "截止", "下载"]
 SYNONYMS = {
     "四六级": ["CET", "大学英语四级", "大学英语六级", "全国大学英语四、六级考试", "英语四六级"],
@@ -47,6 +47,7 @@ class LanguagePack:
     heading_pattern: str = r"(?i)(overview|materials|time|conditions|notice|schedule)$"
     office: str = ""
     college_word: str = "college"
+    institution: str = ""
     tokens: str = r"[A-Za-z0-9_]+|[一-鿿]{2,}"
     keyword_tokens: str = r"[A-Za-z][A-Za-z0-9_-]{1,}|20\d{2}级|20\d{2}|[一-鿿]{2,8}"
 
