@@ -26,8 +26,10 @@ from .components import components
 
 #: Minwise tokens of a document.
 TOKENS = 64
-#: Trees, tokens that a root and a later node branch on, largest node compared exhaustively, levels.
-TREES, ROOT_BRANCHES, BRANCHES, LEAF, LEVELS = 3, 4, 3, 24, 10
+#: Trees, tokens that a root and a node below it branch on (deeper ones take one token), levels; the last level compares all that is left.
+TREES, ROOT_BRANCHES, BRANCHES, LEVELS = 3, 4, 3, 6
+#: A node is compared exhaustively with at most LEAF squared pairs, or LINEAR for each of its documents.
+LEAF, LINEAR = 24, 8
 #: Share of equal tokens from which a pair is confirmed: four and a half standard deviations under 0.75.
 LEAST_ESTIMATE = 0.5
 
@@ -73,10 +75,15 @@ def _roots(tokens: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(tree), F.lit(c), F.get(tokens, F.lit(c))) for tree in range(TREES) for c in range(tree * ROOT_BRANCHES, (tree + 1) * ROOT_BRANCHES)))
 
 
-def _occupied(nodes: DataFrame, component: str) -> DataFrame:
-    """The rows of nodes that hold several components, with the node's size, leader and whether it is large."""
-    sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"), F.min(component).alias("low"), F.max(component).alias("high"))
-    sizes = written(sizes.filter("n > 1 and low < high").select(F.col("path").alias("_path"), "n", "leader"))
+def _occupied(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes that hold several components, with what the node's comparison needs.
+
+    n, leader (least id), cross (pairs of different components) and major (its largest component).
+    """
+    parts = nodes.groupBy("path", "component").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least"))
+    n = F.sum("c")
+    sizes = parts.groupBy("path").agg(n.alias("n"), F.min("least").alias("leader"), ((n * n - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    sizes = written(sizes.filter("parts > 1").select(F.col("path").alias("_path"), "n", "leader", "cross", F.col("most.component").alias("major")))
     return nodes.join(sizes, F.col("path") == F.col("_path")).drop("_path")
 
 
@@ -128,8 +135,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     ids = named.select(F.col("id").alias("_id"))
     tokens = written(sets.join(ids, F.col(key) == F.col("_id"), "left_semi").select(F.col(key).alias("id"), "tokens").dropDuplicates(["id"]))
 
-    nodes = tokens.select("id", F.col("id").alias("component"), F.explode(_roots(F.col("tokens"))).alias("path"))
-    live = written(_occupied(nodes, "id").select("path", "id", "n", "leader"))
+    nodes = tokens.select("id", F.explode(_roots(F.col("tokens"))).alias("path"))
+    sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter("n > 1").select(F.col("path").alias("_path"), "leader"))
+    live = written(nodes.join(sizes, F.col("path") == F.col("_path")).drop("_path"))
     stars = live.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(_likely(stars, tokens))
     links = written(confirmed(pairs, _texts(df, pairs, key, text), size, percent))
@@ -157,18 +165,23 @@ def _further_pairs(live: DataFrame, labels: DataFrame, tokens: DataFrame) -> Dat
     named = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
     nodes = live.select("path", "id").join(named, F.col("id") == F.col("_node"), "left").select("path", "id", F.coalesce("_component", "id").alias("component"))
     for level in range(LEVELS):
-        rows = written(_occupied(nodes, "component"))
+        rows = written(_occupied(nodes))
+        # a node is small if its comparisons are few, or few for each of its documents
+        is_small = F.col("cross") <= F.greatest(F.lit(LEAF * LEAF), LINEAR * F.col("n"))
         last = level == LEVELS - 1
-        small = rows if last else rows.filter(F.col("n") <= LEAF)
-        other = small.select("path", F.col("id").alias("b"), F.col("component").alias("other"))
-        pairs = small.select("path", F.col("id").alias("a"), "component").join(other, "path").filter("a < b and component != other").select("a", "b")
-        large = rows.filter(F.col("n") > LEAF)
+        small = rows if last else rows.filter(is_small)
+        # whoever isn't of the largest component meets all of another one; the largest never meets itself
+        outside = small.filter("component != major").select("path", F.col("id").alias("x"), "component")
+        other = small.select("path", F.col("id").alias("y"), F.col("component").alias("other"))
+        pairs = outside.join(other, "path").filter("component != other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        large = rows.filter(~is_small)
         stars = large.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
         pairs = written(pairs.union(stars).distinct())
         found = pairs if found is None else found.union(pairs)
         if last or large.isEmpty():
             break
-        nodes = large.join(tokens, "id").select("id", "component", F.explode(_branches(F.col("path"), F.col("tokens"), BRANCHES)).alias("path"))
+        count = BRANCHES if level == 0 else 1
+        nodes = large.join(tokens, "id").select("id", "component", F.explode(_branches(F.col("path"), F.col("tokens"), count)).alias("path"))
     return found.distinct()
 
 
