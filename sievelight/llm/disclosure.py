@@ -83,17 +83,21 @@ def disclosing_terms(found: DataFrame, df: DataFrame, text: str) -> DataFrame:
     texts = met.select("entity", "term", "text_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     contexts = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
     pairs = texts.join(contexts, ["entity", "term"]).filter((F.col("n_contexts") >= CONTEXTS) & (F.col("n_contexts") >= CONTEXT_SHARE * F.col("n_both")))
+    everything = df.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
+    total = everything.select("text_id").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n_entity = entities.select("entity", "text_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # near entities alone a term may already stand in more texts than the threshold allows it in all: that needs no count over the corpus
+    n_near = met.select("term", "text_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    most = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - DISCLOSURE))
+    pairs = pairs.join(n_entity, "entity").join(n_near, "term").filter(F.col("n_near") <= most * (1 + 1e-9))
     pairs = written(pairs)
     terms = written(pairs.select("term").distinct())
-    n_entity = entities.select("entity", "text_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    everything = df.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
     said = everything.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     count = row_count(terms)
     if count == 0:
         return pairs.select("entity", "term")
     n_term = said.join(F.broadcast(terms) if count <= MOST_BROADCAST else terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = everything.select("text_id").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    known = pairs.join(n_entity, "entity").join(n_term, "term")
+    known = pairs.join(n_term, "term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return written(known.filter((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term"))
