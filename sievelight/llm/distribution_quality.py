@@ -28,9 +28,10 @@ COMMON_WORDS = {
 }
 #: Histogram bins of characters; the last takes the rest.
 CLASSES = [re.compile(x) for x in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]", r"[à-öø-ÿ]")]
-#: Least words for comparing character classes and common words, and the greatest distances.
+#: Least words for comparing character classes and common words, and the greatest distances.  A text without common words is at 0.34 from
+#: references with 22 % of them (at more from those with a greater share), clean texts of 100 words are within 0.27.
 LEAST_CLASSES, LEAST_COMMON = 30, 100
-MOST_CLASSES, MOST_COMMON = 0.30, 0.62
+MOST_CLASSES, MOST_COMMON = 0.30, 0.30
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 

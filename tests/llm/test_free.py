@@ -43,6 +43,19 @@ def test_quality_verdict(spark):
     assert all(out[i] for i in range(60)) and not out[60] and not out[61]
 
 
+def test_quality_of_common_words(spark):
+    """With as few common words as in the test tables, texts without any, or in another language, go; clean ones stay."""
+    rnd = random.Random(4)
+    other = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    prose = lambda lang, n: " ".join(rnd.choice(distribution_quality.COMMON_WORDS[lang].split()) if rnd.random() < 0.22 else other() for _ in range(n))
+    clean = [(prose(g, 250), g) for g in ("en", "fr", "de", "es") for _ in range(40)]
+    bad = [(" ".join(other() for _ in range(n)), g) for g in ("en", "fr", "de", "es") for n in (120, 900)] + [(prose("de", 250), "en"), (prose("en", 250), "fr"), (prose("en", 250), "es")]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(clean + bad)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in distribution_quality.judge(df).collect()}
+    assert all(out[i]["kept"] for i in range(len(clean)))
+    assert all(not out[i]["kept"] and not out[i]["base_failed"] and out[i]["class_distance"] <= distribution_quality.MOST_CLASSES for i in range(len(clean), len(out)))
+
+
 def shingles(text):
     words = re.findall(BLANK, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
