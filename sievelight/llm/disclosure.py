@@ -1,10 +1,10 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
 Formats (e-mail, IP address, card, phone) are found first; each distinct value is a protected entity.  Then, after the
-information-theoretic sanitisation of Sanchez and Batet, the corpus says how much a term near an entity reveals of it: with p as shares
+information-theoretic sanitisation of Sanchez and Batet, the corpus says how much a term of an entity's text reveals of it: with p as shares
 of distinct texts, PMI(c; t) = log2 p(c, t) / (p(c) p(t)) against IC(c) = -log2 p(c), all that there is to know about c.  A term with
-PMI >= DISCLOSURE * IC(c), met in enough distinct contexts, exceeds the threshold; in the documents that hold the entity its
-occurrences are spans, too, and ``sanitised`` generalises them like the entity.
+PMI >= DISCLOSURE * IC(c) exceeds the threshold; in the documents that hold the entity its occurrences are spans, too, and ``sanitised``
+generalises them like the entity.  A value too rare for statistics is counted as its class (domain, prefix), or else as its kind.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base, by_ids, column, fresh, row_count, written
+from .common import base, by_ids, column, fresh, written
 from .spans import SPAN, masked, matches, no_spans
 
 #: The kinds in their order.  Look-behinds and possessive quantifiers only keep the search linear; the matches are those of the plain patterns.
@@ -22,13 +22,11 @@ IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Share of an entity's information from which a term discloses it; least distinct contexts, and least of them for each text.
-DISCLOSURE, CONTEXTS, CONTEXT_SHARE = 0.9, 3, 0.5
-#: Code points on either side of an entity in which terms are taken, and what a term is.
-REACH = 60
+#: Share of an entity's information from which a term discloses it, and least distinct texts for statistics of an entity and of a pair:
+#: what met only once may have met by chance, and nothing in the corpus tells.
+DISCLOSURE, LEAST_TEXTS, LEAST_BOTH = 0.9, 3, 2
+#: What a term is.
 TERM = r"\p{L}{4,}"
-#: Most candidate terms that are broadcast for counting.
-MOST_BROADCAST = 200_000
 
 
 def luhn(digits: Column) -> Column:
@@ -69,38 +67,54 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def disclosing_terms(found: DataFrame, df: DataFrame, text: str) -> DataFrame:
-    """(entity, term) over the threshold.  ``found``: text_id, text, spans of the documents with entities; ``df``: all documents."""
-    entities = found.select("text_id", "text", F.explode("spans").alias("s")).select(
-        "text_id",
-        F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("entity"),
-        F.concat(F.substring("text", F.greatest(F.lit(1), F.col("s.start") - REACH + 1).cast("int"), F.least(F.lit(REACH), F.col("s.start")).cast("int")), F.lit(" \n "), F.expr(f"substring(text, cast(s.end as int) + 1, {REACH})")).alias("near"),
+def _classes(kind: Column, value: Column) -> Column:
+    """What a value is of: an e-mail's domain, an IP address's first two numbers, a card's first six digits, a phone number's first three."""
+    return F.concat(
+        F.get(F.array(*map(F.lit, KINDS)), kind),
+        F.lit("/"),
+        F.when(kind == 0, F.lower(F.substring_index(value, "@", -1))).when(kind == 1, F.substring_index(value, ".", 2)).when(kind == 2, F.substring(_digits(value), 1, 6)).otherwise(F.substring(_digits(value), 1, 3)),
     )
-    words = F.regexp_extract_all("near", F.lit(TERM), F.lit(0))
-    # the context of a term is its neighbours, so that copies of one passage count once
-    around = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("term"), F.xxhash64(F.get(words, i - 1), F.get(words, i + 1)).alias("context")))
-    met = entities.select("text_id", "entity", F.explode(around).alias("x")).select("text_id", "entity", "x.term", "x.context")
-    texts = met.select("entity", "term", "text_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    contexts = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
-    pairs = texts.join(contexts, ["entity", "term"]).filter((F.col("n_contexts") >= CONTEXTS) & (F.col("n_contexts") >= CONTEXT_SHARE * F.col("n_both")))
+
+
+def _texts(seen: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """(text_id, text): each distinct text of ``df`` once; only texts that have copies are shuffled."""
+    doubled = written(seen.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_id"))
     everything = df.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
-    total = everything.select("text_id").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    n_entity = entities.select("entity", "text_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # near entities alone a term may already stand in more texts than the threshold allows it in all: that needs no count over the corpus
-    n_near = met.select("term", "text_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    most = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - DISCLOSURE))
-    pairs = pairs.join(n_entity, "entity").join(n_near, "term").filter(F.col("n_near") <= most * (1 + 1e-9))
-    pairs = written(pairs)
-    terms = written(pairs.select("term").distinct())
-    said = everything.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    count = row_count(terms)
-    if count == 0:
-        return pairs.select("entity", "term")
-    n_term = said.join(F.broadcast(terms) if count <= MOST_BROADCAST else terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = pairs.join(n_term, "term")
+    return by_ids(everything, doubled, "text_id", keep=False).unionByName(by_ids(everything, doubled, "text_id", keep=True).dropDuplicates(["text_id"]))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing_terms(seen: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """(text_id, term): the terms of each text that are over the threshold for an entity of it.
+
+    ``seen``: text_id, spans of all documents, and text of those with entities; ``df``: all documents.  A value found in fewer than
+    LEAST_TEXTS distinct texts is counted as its class, or else as its kind; where that is too rare, too, nothing is known of it.
+    """
+    found = seen.filter("text is not null").dropDuplicates(["text_id"])
+    kinds = F.array(*map(F.lit, KINDS))
+    s = F.col("s")
+    entities = written(found.select("text_id", F.explode("spans").alias("s")).select("text_id", F.get(kinds, s["kind"]).alias("kind"), _classes(s["kind"], s["value"]).alias("class"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("value")).distinct())
+
+    def often(name: str) -> DataFrame:
+        counts = entities.select(name, "text_id").distinct().groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        return written(counts.filter(F.col(f"n_{name}") >= LEAST_TEXTS))
+
+    known = entities.join(often("value"), "value", "left").join(often("class"), "class", "left").join(F.broadcast(often("kind")), "kind", "left")
+    names = [F.when(F.col(f"n_{n}").isNotNull(), F.struct(F.col(n).alias("entity"), F.col(f"n_{n}").alias("n_entity"))) for n in ("value", "class", "kind")]
+    held = written(known.select("text_id", F.coalesce(*names).alias("e")).filter("e is not null").select("text_id", "e.entity", "e.n_entity").distinct())
+    if held.isEmpty():
+        return held.select("text_id", F.col("entity").alias("term"))
+    met = written(held.join(found.select("text_id", F.explode(_words(F.col("text"))).alias("term")), "text_id"))
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= LEAST_BOTH)
+    total = seen.select("text_id").distinct().count()
+    n_term = _texts(seen, df, text).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    return written(known.filter((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term"))
+    over = written(pairs.join(n_term, "term").filter((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term"))
+    return written(met.join(over, ["entity", "term"]).select("text_id", "term").distinct())
 
 
 def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,17 +127,15 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = base(df, key, text).withColumn(text, F.coalesce(text, F.lit("")))
     seen = rows.select(F.col(key), F.xxhash64(text).alias("text_id"), base_spans(F.col(text)).alias("spans"), F.col(text).alias("text"))
     seen = written(seen.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
-    found = seen.filter("text is not null")
-    pairs = disclosing_terms(found, rows, text)
-    if pairs.isEmpty():
+    told = disclosing_terms(seen, rows, text)
+    if told.isEmpty():
         return seen.select(key, "spans", F.col("spans").alias("all_spans"))
-    held = found.select(F.col(key), F.explode("spans").alias("s")).select(key, F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("entity"))
-    terms = held.join(pairs, "entity").select(key, "term").distinct().groupBy(key).agg(F.collect_set("term").alias("terms"))
+    terms = told.groupBy("text_id").agg(F.collect_set("term").alias("terms"))
     words = F.filter(matches(F.col("text"), TERM), lambda w: F.array_contains("terms", F.lower(w["value"])))
     marks = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), w["end"].alias("end"), w["value"].alias("value")))
     outside = F.filter(marks, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    more = found.join(terms, key).select(F.col(key).alias("_key"), outside.alias("extra")).dropDuplicates(["_key"])
-    out = seen.join(more, F.col(key) == F.col("_key"), "left")
+    more = seen.filter("text is not null").dropDuplicates(["text_id"]).join(terms, "text_id").select(F.col("text_id").alias("_text_id"), outside.alias("extra"))
+    out = seen.join(written(more), F.col("text_id") == F.col("_text_id"), "left")
     return out.select(key, "spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.slice("spans", 1, 0)))).alias("all_spans"))
 
 
