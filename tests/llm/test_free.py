@@ -108,6 +108,21 @@ def test_large_groups_of_near_copies(spark):
     assert got == want and len({c for _, c in want.values()}) < 100
 
 
+def test_recall_inside_one_large_node(spark, monkeypatch):
+    """Of many pairs of similarity 0.75 in a node that stays large to the last level, a single root meets nine in ten."""
+    monkeypatch.setattr(chosen_path, "LEAF", 0)
+    monkeypatch.setattr(chosen_path, "LINEAR", 0)
+    rnd, rows = random.Random(6), []
+    for i in range(0, 300, 2):
+        same = [rnd.random() < 0.75 for _ in range(chosen_path.TOKENS)]
+        rows += [(k, [0 if x else 1 + k for x in same]) for k in (i, i + 1)]
+    tokens = spark.createDataFrame(rows, "id long, tokens array<int>")
+    live = spark.createDataFrame([(1, k, 0) for k, _ in rows], "path long, id long, leader long")
+    labels = spark.createDataFrame([], "node long, component long")
+    met = chosen_path._further_pairs(live, labels, tokens).filter("a % 2 = 0 and b = a + 1 and a > 0").count()
+    assert met >= 0.9 * 149, met
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
