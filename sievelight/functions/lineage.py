@@ -5,19 +5,47 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.
+
+    Where it is unset, a session within one machine (``local``) gets a temporary folder, which becomes the setting; on a
+    cluster executors share no such folder, so the setting is demanded.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sievelight-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def _place(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to and read from the folder in spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """``df`` as a Parquet table in the shared folder: a lost executor then costs one stage.
+
+    The table is deleted by ``forget``, or else when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sievelight-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/sievelight-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sievelight-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that no plan needs any more."""
+    for df in tables:
+        files, place = _place(df.sparkSession, df._cut_to)
+        files.delete(place, True)
