@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut as written
+from ..functions.lineage import forget, shared_dir
+
 #: The characters that separate words, as a character class of Java, Python and RE2 alike.
 BLANK = r"[\x20\x09-\x0D]"
 #: The same characters for translate().
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary folder that becomes the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sievelight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage so that a lost executor costs one stage.
-
-    The table is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sievelight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str):
     """The column ``name``, matched exactly, also when ``df`` has another one that differs only by case or has dots."""
     if name not in df.columns:
@@ -115,7 +92,52 @@ def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, most_broadcast: int = 1_000_000) -> DataFrame:
+#: Most rows of a side that is broadcast after it was counted: ids of a few numbers each.
+MOST_BROADCAST = 1_000_000
+
+
+def marks(text: Column) -> list[Column]:
+    """Two hashes (96 bits) of a text, null as empty: with the key they tell rows apart whose keys are null or repeated."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole), F.hash(whole)]
+
+
+def marked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, _mark, _mark2."""
+    one, two = marks(column(df, text))
+    return df.select(column(df, key).alias(key), column(df, text).alias(text), one.alias("_mark"), two.alias("_mark2"))
+
+
+def same_row(df: DataFrame, key: str, text: str, side: DataFrame, names: list[str]) -> Column:
+    """Whether a row of ``df`` is the one that ``names`` (key, _mark, _mark2) of ``side`` tell; null keys equal each other."""
+    one, two = marks(column(df, text))
+    return column(df, key).eqNullSafe(side[names[0]]) & (one == side[names[1]]) & (two == side[names[2]])
+
+
+def by_rows(df: DataFrame, rows: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
+    """The rows of ``df`` that are (``keep``) or aren't among ``rows`` (key, _mark, _mark2).
+
+    They are broadcast only when counted to be at most MOST_BROADCAST; more are joined by a shuffle.
+    """
+    names = [fresh(df, n) for n in ("_key", "_mark", "_mark2")]
+    named = rows.toDF(*names).distinct()
+    side = F.broadcast(named) if row_count(rows) <= MOST_BROADCAST else named
+    return df.join(side, same_row(df, key, text, named, names), "left_semi" if keep else "left_anti")
+
+
+def one_each(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` without the further copies of rows that repeat key and text; shuffles only those that do."""
+    rows = marked(df, key, text).select(key, "_mark", "_mark2")
+    twice = written(rows.groupBy(key, "_mark", "_mark2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if twice.isEmpty():
+        return df
+    at, one, two = (fresh(df, n) for n in ("_at", "_one", "_two"))
+    hits = by_rows(df, twice, key, text, keep=True)
+    hits = hits.select("*", column(hits, key).alias(at), *(m.alias(n) for m, n in zip(marks(column(hits, text)), (one, two), strict=True)))
+    return by_rows(df, twice, key, text, keep=False).unionByName(hits.dropDuplicates([at, one, two]).drop(at, one, two))
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows of ``df`` whose key is (``keep``) or isn't in the one column of ``ids``; nulls equal nulls.
 
     The ids are broadcast only when counted to be at most ``most_broadcast`` (8 MB of longs); more are joined by a shuffle.
@@ -124,3 +146,4 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool, most_broadcast:
     named = ids.toDF(name).distinct()
     side = F.broadcast(named) if row_count(ids) <= most_broadcast else named
     return df.join(side, column(df, key).eqNullSafe(named[name]), "left_semi" if keep else "left_anti")
+

@@ -108,19 +108,46 @@ def test_large_groups_of_near_copies(spark):
     assert got == want and len({c for _, c in want.values()}) < 100
 
 
-def test_recall_inside_one_large_node(spark, monkeypatch):
-    """Of many pairs of similarity 0.75 in a node that stays large to the last level, a single root meets nine in ten."""
-    monkeypatch.setattr(chosen_path, "LEAF", 0)
-    monkeypatch.setattr(chosen_path, "LINEAR", 0)
-    rnd, rows = random.Random(6), []
-    for i in range(0, 300, 2):
-        same = [rnd.random() < 0.75 for _ in range(chosen_path.TOKENS)]
-        rows += [(k, [0 if x else 1 + k for x in same]) for k in (i, i + 1)]
-    tokens = spark.createDataFrame(rows, "id long, tokens array<int>")
-    live = spark.createDataFrame([(1, k, 0) for k, _ in rows], "path long, id long, leader long")
-    labels = spark.createDataFrame([], "node long, component long")
-    met = chosen_path._further_pairs(live, labels, tokens).filter("a % 2 = 0 and b = a + 1 and a > 0").count()
-    assert met >= 0.9 * 149, met
+def planted_pairs(n, rnd, line=True):
+    """``n`` pairs just over and just under the limit around one hot passage, beside a hot group of near copies and unrelated texts with the passage."""
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(7))
+    passage = [word() for _ in range(40)]
+    out = []
+    for i in range(n):
+        own = [word() for _ in range(60)]
+        other = own[: 60 - 2 - i % 12] + [word() for _ in range(2 + i % 12)]
+        out += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    base = passage + [word() for _ in range(60)]
+    for i in range(n):
+        out.append((10_000 + i, " ".join(base[:99] + [word()])))
+        out.append((20_000 + i, " ".join(passage + [word() for _ in range(30)])))
+    return out
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_recall_around_a_hot_passage(spark, monkeypatch, last):
+    """Every link is found; with no node small and one level, by the exact join alone."""
+    if last:
+        for name, value in (("LEAF", 0), ("LINEAR", 0), ("LEVELS", 2), ("LARGE", 4)):
+            monkeypatch.setattr(chosen_path, name, value)
+    rows = planted_pairs(60, random.Random(6))
+    want = brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in chosen_path.near_groups(df).collect()}
+    assert got == want and 30 < sum(k != c for k, (_, c) in want.items()) < 120
+
+
+def test_near_duplicates_of_null_and_repeated_keys(spark):
+    rnd = random.Random(7)
+    text = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[0] + " x"), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[3] + " y"), (8, text[4]), (8, text[4]), (None, text[2] + " z"), (None, None), (9, "")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, _mark string")
+    kept = chosen_path.keep_one(df)
+    assert kept.columns == df.columns
+    left = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert left == Counter([next(x for x in rows[:2] if x in left), rows[2], rows[3], rows[4], rows[6], rows[9], rows[10]])
+    strings = df.selectExpr("concat('k', doc_id) AS doc_id", "text")
+    assert {r["component_id"] for r in chosen_path.near_groups(strings).filter("doc_id = 'k7'").collect()} == {"k5"}
 
 
 def test_components_of_paths_stars_and_nothing(spark):
