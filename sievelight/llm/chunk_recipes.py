@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, base, by_ids, written
+from .common import BLANK_CHARS, by_rows, marked, one_each, written
 
 #: Least and greatest code points of a chunk.
 LEAST, MOST = 512, 2048
@@ -38,17 +38,19 @@ def chunk_id(chunk: Column) -> Column:
 
 
 def recipes(df: DataFrame, key: str, text: str, identify: Callable[[Column], Column] = chunk_id) -> DataFrame:
-    """One row per row of ``df``: key, n_chars (of the original), text_sha256, recipe (verified identifiers, array of strings or longs).
+    """One row per row of ``df``: key, _mark, _mark2, n_chars (of the original), text_sha256, recipe (verified identifiers, array of strings or longs).
 
     Where verification finds an identifier with several chunk texts, the documents that hold one get
     the identifier and the chunk's rank among these texts; all others keep the plain list.
     """
-    rows = base(df, key, text).select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = marked(df, key, text).select(key, "_mark", "_mark2", F.coalesce(F.col(text), F.lit("")).alias("_text"))
     parts = chunks(normalised(F.col("_text")))
     dictionary = rows.select(F.explode(parts).alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk").distinct()
     doubtful = written(dictionary.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
     plain = rows.select(
-        F.col(key),
+        key,
+        "_mark",
+        "_mark2",
         F.length("_text").cast("bigint").alias("n_chars"),
         F.sha2(F.encode(normalised(F.col("_text")), "UTF-8"), 256).alias("text_sha256"),
         F.transform(parts, identify).alias("recipe"),
@@ -64,39 +66,46 @@ def recipes(df: DataFrame, key: str, text: str, identify: Callable[[Column], Col
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("rank", F.lit(0)).alias("rank")))), lambda x: F.concat_ws(":", x["id"], x["rank"])).alias("recipe")
     )
     return told.join(refined, "_row", "left").select(
-        F.col(key),
+        key,
+        "_mark",
+        "_mark2",
         F.length("_text").cast("bigint").alias("n_chars"),
         F.sha2(F.encode(normalised(F.col("_text")), "UTF-8"), 256).alias("text_sha256"),
         F.coalesce("recipe", F.array().cast("array<string>")).alias("recipe"),
     )
 
 
+def _grouped(df: DataFrame, key: str, text: str, identify: Callable[[Column], Column]) -> DataFrame:
+    """exact_groups() with _mark and _mark2 of every row; ``kept`` holds for the rows of one key and one text of a group."""
+    lists = written(recipes(df, key, text, identify))
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "_mark", "_mark2")).alias("best")
+    groups = lists.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # concat() hides the aggregate's partitioning from the planner: only an exchange right below the join can be split
+    groups = groups.select(F.concat("recipe", F.array().cast(lists.schema["recipe"].dataType)).alias("_recipe"), "best", "group_size")
+    joined = lists.join(groups, F.col("recipe") == F.col("_recipe"))
+    kept = F.col("best.key").eqNullSafe(F.col(key)) & (F.col("best._mark") == F.col("_mark")) & (F.col("best._mark2") == F.col("_mark2"))
+    return joined.select(key, "_mark", "_mark2", F.col("best.key").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+
+
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", identify: Callable[[Column], Column] = chunk_id) -> DataFrame:
     """One row per row of ``df``: key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same without blanks; null counts as empty, and empty texts are a group of
-    their own.  Of a group the row with the most code points in the original, then the smallest key,
-    stays.  Rows that repeat key and text count each in group_size; all of those with the keep_id are
-    marked kept.  Null keys are a document like any other, chosen last.  An empty table gives none.
+    their own.  Of a group the row with the most code points in the original, then the smallest key, stays (null keys are
+    last; of several texts with one key, that of the least hash).  Rows that repeat key and text count each in group_size; all of
+    those are marked kept or none.  A very long text is a list of chunks like any other.  An empty table gives none.
 
     A group of copies is counted with map-side partial aggregates.  The way back joins the list of a
     group to its documents; the join deals both sides anew, so that AQE can split a group that holds a
     third of all rows.
     """
-    lists = written(recipes(df, key, text, identify))
-    best = F.max(F.struct(F.col("n_chars"), (-F.col(key)).alias("order"))).alias("best")
-    groups = lists.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
-    # concat() hides the aggregate's partitioning from the planner: only an exchange right below the join can be split
-    groups = groups.select(F.concat("recipe", F.array().cast(lists.schema["recipe"].dataType)).alias("_recipe"), (-F.col("best.order")).alias("keep_id"), "group_size")
-    joined = lists.join(groups, F.col("recipe") == F.col("_recipe"))
-    return joined.select(key, "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col(key)).alias("kept"), "text_sha256")
+    return _grouped(df, key, text, identify).drop("_mark", "_mark2")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns as they are.  A key stands for one text; of rows that repeat it, one stays."""
-    told = written(exact_groups(df, key, text).select(key, "kept"))
-    out = by_ids(df, told.filter("not kept").select(key), key, keep=False)
-    return out if told.filter("kept").groupBy(key).count().filter("count > 1").isEmpty() else out.dropDuplicates([key])
+    """The rows of ``df`` that stay, all columns as they are; of rows that repeat key and text, one stays."""
+    gone = written(_grouped(df, key, text, chunk_id).filter("not kept").select(key, "_mark", "_mark2"))
+    return one_each(by_rows(df, gone, key, text, keep=False), key, text)
 
 
 ORACLE = """

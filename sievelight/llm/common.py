@@ -49,7 +49,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash, the same in every process; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -96,33 +96,39 @@ def row_count(df: DataFrame) -> int:
 MOST_BROADCAST = 1_000_000
 
 
-def marks(text: Column) -> list[Column]:
-    """Two hashes (96 bits) of a text, null as empty: with the key they tell rows apart whose keys are null or repeated."""
-    whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole), F.hash(whole)]
+def marks(*texts: Column) -> list[Column]:
+    """Two hashes (96 bits) of texts, null as empty: with the key they tell rows apart whose keys are null or repeated."""
+    whole = [F.coalesce(t, F.lit("")) for t in texts]
+    return [F.xxhash64(*whole), F.hash(*whole)]
 
 
-def marked(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, _mark, _mark2."""
-    one, two = marks(column(df, text))
-    return df.select(column(df, key).alias(key), column(df, text).alias(text), one.alias("_mark"), two.alias("_mark2"))
+def marked(df: DataFrame, key: str, *texts: str) -> DataFrame:
+    """key, the texts, _mark, _mark2."""
+    one, two = marks(*(column(df, t) for t in texts))
+    return df.select(column(df, key).alias(key), *(column(df, t).alias(t) for t in texts), one.alias("_mark"), two.alias("_mark2"))
 
 
-def same_row(df: DataFrame, key: str, text: str, side: DataFrame, names: list[str]) -> Column:
+def named_rows(df: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` (key, _mark, _mark2, and more) with names that ``df`` doesn't have."""
+    names = [fresh(df, n) for n in ("_key", "_mark", "_mark2", *(f"_{c}" for c in rows.columns[3:]))]
+    return rows.toDF(*names), names
+
+
+def same_row(df: DataFrame, key: str, texts: tuple[str, ...], side: DataFrame, names: list[str]) -> Column:
     """Whether a row of ``df`` is the one that ``names`` (key, _mark, _mark2) of ``side`` tell; null keys equal each other."""
-    one, two = marks(column(df, text))
+    one, two = marks(*(column(df, t) for t in texts))
     return column(df, key).eqNullSafe(side[names[0]]) & (one == side[names[1]]) & (two == side[names[2]])
 
 
-def by_rows(df: DataFrame, rows: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
+def by_rows(df: DataFrame, rows: DataFrame, key: str, *texts: str, keep: bool) -> DataFrame:
     """The rows of ``df`` that are (``keep``) or aren't among ``rows`` (key, _mark, _mark2).
 
     They are broadcast only when counted to be at most MOST_BROADCAST; more are joined by a shuffle.
     """
-    names = [fresh(df, n) for n in ("_key", "_mark", "_mark2")]
-    named = rows.toDF(*names).distinct()
-    side = F.broadcast(named) if row_count(rows) <= MOST_BROADCAST else named
-    return df.join(side, same_row(df, key, text, named, names), "left_semi" if keep else "left_anti")
+    named, names = named_rows(df, rows)
+    side = named.distinct()
+    side = F.broadcast(side) if row_count(rows) <= MOST_BROADCAST else side
+    return df.join(side, same_row(df, key, texts, named, names), "left_semi" if keep else "left_anti")
 
 
 def one_each(df: DataFrame, key: str, text: str) -> DataFrame:

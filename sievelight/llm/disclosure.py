@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base, by_ids, column, fresh, written
+from .common import MOST_BROADCAST, by_ids, column, marked, named_rows, same_row, written
 from .spans import SPAN, masked, matches, no_spans
 
 #: The kinds in their order.  Look-behinds and possessive quantifiers only keep the search linear; the matches are those of the plain patterns.
@@ -26,7 +26,7 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: what met only once may have met by chance, and nothing in the corpus tells.
 DISCLOSURE, LEAST_TEXTS, LEAST_BOTH = 0.9, 3, 2
 #: What a term is.
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{N}]{2,}"
 
 
 def luhn(digits: Column) -> Column:
@@ -121,22 +121,27 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: key, spans and all_spans, arrays of (start, kind, end, value) sorted by start and kind.
 
     ``spans`` has the formats, ``all_spans`` the disclosing terms, too, but for those inside a format.  Null text counts as empty and has
-    none.  Repeated rows have the same spans and count once in the corpus statistics, as do all equal texts.  A key stands for
-    one text.  An empty table gives none.
+    none.  Repeated rows have the same spans and count once in the corpus statistics, as do all equal texts.  Keys, null or repeated,
+    play no part.  Places in very long texts with very many matches are counted in blocks.  An empty table gives none.
     """
-    rows = base(df, key, text).withColumn(text, F.coalesce(text, F.lit("")))
-    seen = rows.select(F.col(key), F.xxhash64(text).alias("text_id"), base_spans(F.col(text)).alias("spans"), F.col(text).alias("text"))
+    return _found(df, key, text).drop("_mark", "_mark2")
+
+
+def _found(df: DataFrame, key: str, text: str) -> DataFrame:
+    """find() with _mark and _mark2 of every row."""
+    rows = marked(df, key, text).withColumn(text, F.coalesce(text, F.lit("")))
+    seen = rows.select(F.col(key), "_mark", "_mark2", F.xxhash64(text).alias("text_id"), base_spans(F.col(text)).alias("spans"), F.col(text).alias("text"))
     seen = written(seen.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
     told = disclosing_terms(seen, rows, text)
     if told.isEmpty():
-        return seen.select(key, "spans", F.col("spans").alias("all_spans"))
+        return seen.select(key, "_mark", "_mark2", "spans", F.col("spans").alias("all_spans"))
     terms = told.groupBy("text_id").agg(F.collect_set("term").alias("terms"))
     words = F.filter(matches(F.col("text"), TERM), lambda w: F.array_contains("terms", F.lower(w["value"])))
     marks = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), w["end"].alias("end"), w["value"].alias("value")))
     outside = F.filter(marks, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     more = seen.filter("text is not null").dropDuplicates(["text_id"]).join(terms, "text_id").select(F.col("text_id").alias("_text_id"), outside.alias("extra"))
     out = seen.join(written(more), F.col("text_id") == F.col("_text_id"), "left")
-    return out.select(key, "spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.slice("spans", 1, 0)))).alias("all_spans"))
+    return out.select(key, "_mark", "_mark2", "spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.slice("spans", 1, 0)))).alias("all_spans"))
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,14 +155,18 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with every span in the text replaced by the upper-case name of its kind in brackets; rows without spans as they are."""
+    """``df`` with every span in the text replaced by the upper-case name of its kind in brackets; rows without spans as they are.
+
+    Every row stays once, also with a null or repeated key: spans belong to (key, text).
+    """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    at, held = fresh(df, "_key"), fresh(df, "_spans")
-    spans = written(find(df, key, text).filter(F.size("all_spans") > 0).select(F.col(key).alias(at), F.col("all_spans").alias(held)).dropDuplicates([at]))
-    rest = by_ids(df, spans.select(at), key, keep=False)
-    hit = df.join(spans, column(df, key) == spans[at])
-    hit = hit.withColumn(text, masked(column(df, text), F.col(held), lambda s: F.get(names, s["kind"]))).drop(at, held)
-    return rest.unionByName(hit)
+    spans = written(_found(df, key, text).filter(F.size("all_spans") > 0).select(key, "_mark", "_mark2", F.transform("all_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("spans")).dropDuplicates([key, "_mark", "_mark2"]))
+    named, marks = named_rows(df, spans)
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) + spans.count() <= MOST_BROADCAST
+    both = df.join(F.broadcast(named) if few else named, same_row(df, key, (text,), named, marks), "left")
+    held = F.col(marks[3])
+    new = F.when(held.isNull(), column(both, text)).otherwise(masked(column(both, text), held, lambda s: F.get(names, s["kind"])))
+    return both.select(*(new.alias(c) if c == text else column(both, c).alias(c) for c in df.columns))
 
 
 __all__ = ["SPAN", "disclosing_terms", "find", "report", "sanitised"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, base, by_ids, window_hashes, word_hashes, written
+from .common import WordHashes, by_rows, marked, window_hashes, word_hashes, written
 
 #: Frequent function words of four languages.
 COMMON_WORDS = {
@@ -94,8 +94,8 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def histograms(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, base counts and both histograms of every row; null text is none, null lang stays null."""
-    rows = base(df, key, text, lang)
+    """key, lang, _mark, _mark2, base counts and both histograms of every row; null text is none, null lang stays null."""
+    rows = marked(df, key, text, lang)
     fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, classes array<bigint>, common array<bigint>"
 
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +104,20 @@ def histograms(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             found = [measure(t or "", g, memo) for t, g in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True)]
             columns = list(zip(*found, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [table.column(0), table.column(2), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])],
-                [key, lang, *(x.split(" ")[0] for x in fields.split(", "))],
+                [table.column(0), *table.columns[2:], *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])],
+                [key, lang, "_mark", "_mark2", *(x.split(" ")[0] for x in fields.split(", "))],
             )
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(work, f"`{key}` {kinds[key]}, `{lang}` {kinds[lang]}, {fields}")
+    return rows.mapInArrow(work, f"`{key}` {kinds[key]}, `{lang}` {kinds[lang]}, _mark bigint, _mark2 int, {fields}")
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """_judged() without the marks."""
+    return _judged(df, key, text, lang).drop("_mark", "_mark2")
+
+
+def _judged(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """One row per row of ``df``: key, the base counts, base_failed, class_distance, common_distance, kept.
 
     ``kept`` is false where the base rules fail or a guarded distance is over its limit.  A document of a
@@ -139,12 +144,13 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     far_common = F.when((F.col("n_words") >= LEAST_COMMON) & named, divergence(F.col("common"), F.slice("ref_common", 1, F.size("common"))))
     out = both.withColumn("class_distance", F.round(far_classes, 6)).withColumn("common_distance", F.round(far_common, 6))
     kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("common_distance", F.lit(0.0)) <= MOST_COMMON)
-    return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", kept.alias("kept"))
+    return out.select(key, "_mark", "_mark2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", kept.alias("kept"))
 
 
 def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that judge() keeps, all columns as they are."""
-    return by_ids(df, written(judge(df, key, text, lang).filter("not kept").select(key)), key, keep=False)
+    gone = written(_judged(df, key, text, lang).filter("not kept").select(key, "_mark", "_mark2"))
+    return by_rows(df, gone, key, text, lang, keep=False)
 
 
 def oracle() -> str:

@@ -8,6 +8,7 @@ number of tasks' leftovers, by the same rule.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -23,7 +24,7 @@ from . import vocabulary
 from .common import base, written
 
 #: Distinct pieces that a Python worker remembers; then it forgets all.
-MEMO = 500_000
+MEMO = 150_000
 #: Open windows of a task, and the number of tasks whose leftovers meet in one.
 WINDOWS, MEET = 64, 16
 
@@ -42,14 +43,20 @@ class WordIds:
     """
 
     def __init__(self, file: str):
+        self.file = file
+        self.bpe = vocabulary.load_word_end(file)
+        self.memo: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when a text first needs it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.bpe = vocabulary.load_word_end(file)
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        out = Tokenizer.from_file(self.file)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lower = [t.lower() for t in texts]
@@ -63,6 +70,24 @@ class WordIds:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if p is None else np.frombuffer(b"".join([memo[w] for w in p]), "<u4") for t, p in zip(texts, plan, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(file: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(file)
+
+
+def batches(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters together."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class Packer:
     """The open windows.  ``emit`` gets the items of a closed one."""
 
@@ -113,7 +138,7 @@ def pack(df: DataFrame, file: str, size: int = 2048, end_id: int = 1, windows: i
     fields = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def first(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(file)
+        ids = word_ids(file)
         task = TaskContext.get().partitionId()
         closed: list[tuple[list, bool]] = []
         packer = Packer(size, windows, lambda items: closed.append((items, True)))
@@ -137,8 +162,8 @@ def pack(df: DataFrame, file: str, size: int = 2048, end_id: int = 1, windows: i
         for table in tables:
             key_type = table.column(0).type
             docs, texts = table.column(0).to_pylist(), [t or "" for t in table.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                for doc, found in zip(docs[at : at + 500], ids.encode(texts[at : at + 500]), strict=True):
+            for at, end in batches(texts):
+                for doc, found in zip(docs[at:end], ids.encode(texts[at:end]), strict=True):
                     whole = np.append(found, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(whole), size):
                         piece = whole[start : start + size]

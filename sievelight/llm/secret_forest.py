@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, judged by a random forest, in DataFrame functions and Spark's JVM learner only.
 
-The forest sees a candidate's length, character classes and their transitions, coverage by dictionary words, likeness to a path, and the
-neighbouring words.  It is trained from labelled findings: a table of (before, value, after, secret).  ``labelled_findings`` makes a
-bounded one by rule, for use where no reviewed findings are at hand.
+The forest sees a candidate's length, character classes and their transitions, letter pairs, coverage by dictionary words, likeness to a path,
+and the neighbouring words.  It is trained from labelled findings: a table of (before, value, after, secret) that the caller gives, such as
+reviewed findings of an earlier scan.  ``labelled_findings`` makes a bounded one by rule, for use where none are at hand.
 """
 
 from __future__ import annotations
@@ -13,19 +13,34 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base, by_ids, column, fresh, written
+from .common import MOST_BROADCAST, column, marked, named_rows, same_row, written
 from .spans import masked, matches
 
-#: A candidate: a run of key characters, long or behind a name and a sign, with a digit in it (the look-ahead), or a key block.
-RUN = r"(?:-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,200}[0-9])[A-Za-z0-9+/_.-][A-Za-z0-9+/_=.-]{15,}+)"
+#: Names behind whose sign a value is a candidate, whatever it looks like; short ones stand alone.
+NAMES = r"(?:pass(?:word|wd|phrase|code)?|passwort|contrase\xf1a|mot_de_passe|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|(?<![A-Za-z])(?:key|auth|pin|pw))"
+#: Candidates, at one place the first that fits: a key block as a whole (up to its END line, if there is one before the next line of dashes); a
+#: value behind a name and a sign, quoted or not; a bearer token; a password in an address; a run of 16 or more key characters
+#: with a digit, or of 24 or more with both cases.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE KEY|PGP MESSAGE)[A-Z ]*-----(?:[^-]*+(?:-(?!----)[^-]*+){0,24}+-----END [A-Z0-9 ]+-----)?"
+ASSIGNED = NAMES + r"(?:[_-][A-Za-z0-9]{1,20})?[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:\"[^\"\n]{4,512}+\"|'[^'\n]{4,512}+'|[^\s\"'<>,;(){}\[\]]{6,}+)"
+BEARER = r"(?<![A-Za-z])[Bb]earer[ \t]{1,4}[A-Za-z0-9._~+/=-]{8,}+"
+ADDRESS = r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,20}+://[^\s:/@\"'<>]{1,128}+:[^\s/@\"'<>]{3,128}+@"
+LONG = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-](?:(?<=[0-9])|(?=[A-Za-z+/_=.-]*+[0-9])|(?=[A-Za-z+/_=.-]{23})(?=[^A-Z]*+[A-Z])(?=[^a-z]*+[a-z]))[A-Za-z0-9+/_=.-]{15,}+"
+CANDIDATE = f"(?:{KEY_BLOCK}|(?i:{ASSIGNED})|{BEARER}|{ADDRESS}|{LONG})"
+#: What precedes the value inside a candidate, and what closes it.
+LEAD = rf"(?i:^{NAMES}(?:[_-][A-Za-z0-9]{{1,20}})?[\"']?[ \t]{{0,4}}(?::=|=>|[=:])[ \t]{{0,4}}[\"']?|^bearer[ \t]+|^[a-z][a-z0-9+.-]*://[^:]*:(?=[^@]*@$)|^[A-Za-z_]+[=:]+)"
+CLOSE = r"(?:(?<=..)[\"'@])$"
 #: Code points on either side that count as neighbourhood.
 REACH = 32
 #: Labelled findings used in training, trees, depth, and the least probability of a secret.
-LABELLED, FOREST, DEPTH, LEAST = 6000, 24, 8, 0.5
-#: Words that come before secrets, words that come before harmless identifiers, and a small dictionary.
+LABELLED, FOREST, DEPTH, LEAST = 6000, 24, 9, 0.5
+#: Words that come before secrets, words that come before harmless identifiers, a small dictionary, what stands where a secret
+#: would, and frequent pairs of letters.
 SECRET_WORDS = "password passwd pwd secret token apikey api_key key credential auth bearer private access"
 HARMLESS_WORDS = "commit sha md5 checksum digest uuid guid id revision build version path file url href doi isbn hash example sample"
-DICTIONARY = "the and for with this that from your user name data file test example sample value index page image main list item code path word text admin login change please default dummy fake place holder null none true false your here some http www com org html json config"
+DICTIONARY = "the and for with this that from your user name data file test example sample value index page image main list item code path word text admin login change please default dummy fake place holder null none true false your here some http www com org html json config required optional enter reset forgot valid must string field about between which there their other first under"
+PLACEHOLDERS = r"(?i)^(?:x+|\*+|\.+|-+|_+|null|none|nil|true|false|undefined|todo|n/?a|changeme|change[_-]?me|redacted|removed|hidden|secret|token|password|<.*|\$\{.*|\{\{.*|%.*%|your[_-].*|my[_-].*|example.*|required|optional|string)$"
+PAIRS = "th he in er an re nd on en at ou ed ha to or it is hi es ng st nt ar te se le of ve me al ra li ri ic ti ro de io la el ne ta si ss as us ce om un il et ma co ll ch"
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -34,31 +49,38 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
-    body = F.regexp_replace(value, r"^[A-Za-z_]+[=:]+", "")
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]+", "0"), "[a-z]+", "1"), "[A-Z]+", "2"), "", "")
-    length = F.greatest(F.length(body), F.lit(1))
-    near = F.lower(F.concat(before, F.regexp_extract(value, r"^[A-Za-z_]+[=:]+", 0)))
+    """``before`` ends with what names the value."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "0"), "[a-z]+", "1"), "[A-Z]+", "2")
+    length = F.greatest(F.length(value), F.lit(1))
+    near, low = F.lower(before), F.lower(value)
     words = "|".join(sorted(DICTIONARY.split(), key=len, reverse=True))
+    letters = F.regexp_replace(low, "[^a-z]", "")
 
     def any_of(names: str) -> Column:
         return F.rlike(near, F.lit(rf"(?:^|[^a-z])(?:{'|'.join(names.split())})(?:[^a-z]|$)")).cast("double")
 
     return {
-        "length": length.cast("double"),
+        "length": F.least(length, F.lit(4096)).cast("double"),
         "transitions": F.length(kinds) / length,
-        "digits": _share(body, "0-9"),
-        "lower": _share(body, "a-z"),
-        "upper": _share(body, "A-Z"),
-        "hex": F.rlike(body, F.lit(r"^[0-9a-f]+$")).cast("double"),
-        "distinct": F.size(F.array_distinct(F.regexp_extract_all(F.substring(body, 1, 256), F.lit("(?s)."), F.lit(0)))) / F.least(length, F.lit(256)),
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(body), f"(?:{words})", "")) / length,
-        "dashes": (F.length(body) - F.length(F.translate(body, "-", ""))).cast("double"),
-        "path": F.rlike(body, F.lit(r"[/.][A-Za-z_-]{2,}[/.]|^/|\.[a-z]{2,4}$|//")).cast("double"),
-        "known": F.rlike(body, F.lit(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_live_|^xox[abp]-|^-----BEGIN")).cast("double"),
-        "assigned": F.rlike(F.concat(before, F.regexp_extract(value, r"^[A-Za-z_]+[=:]+", 0)), F.lit(r"[=:]\s*[\"']?$")).cast("double"),
+        "digits": _share(value, "0-9"),
+        "lower": _share(value, "a-z"),
+        "upper": _share(value, "A-Z"),
+        "hex": F.rlike(value, F.lit(r"^[0-9a-f]+$")).cast("double"),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(length, F.lit(64)),
+        "dictionary": 1 - F.length(F.regexp_replace(low, f"(?:{words})", "")) / length,
+        "pairs": 1 - F.length(F.regexp_replace(letters, f"(?:{'|'.join(PAIRS.split())})", "")) / F.greatest(F.length(letters), F.lit(1)),
+        "dashes": (F.length(value) - F.length(F.translate(value, "-", ""))).cast("double"),
+        "blanks": (F.length(value) - F.length(F.regexp_replace(value, r"\s", ""))).cast("double"),
+        "path": F.rlike(value, F.lit(r"[/.][A-Za-z_-]{2,}[/.]|^/|\.[a-z]{2,4}$|//")).cast("double"),
+        "known": F.rlike(value, F.lit(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_live_|^xox[abp]-|^-----BEGIN")).cast("double"),
+        "placeholder": F.rlike(value, F.lit(PLACEHOLDERS)).cast("double"),
+        "assigned": F.rlike(before, F.lit(r"[=:>][ \t]*[\"']?$")).cast("double"),
+        "equals": F.rlike(before, F.lit(r"=[>]?[ \t]*[\"']?$")).cast("double"),
+        "opened": F.rlike(before, F.lit("[\"']$")).cast("double"),
         "secret_word": any_of(SECRET_WORDS),
         "harmless_word": any_of(HARMLESS_WORDS),
         "quoted": F.rlike(after, F.lit("^[\"']")).cast("double"),
+        "address": (F.rlike(before, F.lit("://[^\\s/]*:$")) & F.startswith(after, F.lit("@"))).cast("double"),
     }
 
 
@@ -99,6 +121,27 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(word, plain), text("0123456789", size, 38), plain, 0),
         (F.concat(word, F.lit("@")), F.concat(of(DICTIONARY, 39), text("0123456789", 2, 40), F.lit("."), of(DICTIONARY, 41), F.lit(".com")), plain, 0),
     ]
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    short = (F.pmod(F.xxhash64(i, F.lit(50)), F.lit(9)) + 7).cast("int")
+    sign = of("= : := =>", 51)
+    spelt = F.concat(of(DICTIONARY, 52), F.element_at(F.array(F.lit(""), F.lit("$"), F.lit("!"), F.lit("_"), F.lit("#")), F.pmod(F.xxhash64(i, F.lit(53)), F.lit(5)).cast("int") + 1), of(DICTIONARY, 54), text("0123456789", 2, 55))
+    named = F.concat(word, plain, of(SECRET_WORDS, 56), plain, sign, plain)
+    cases += [
+        (F.concat(named, quote), F.concat(of(DICTIONARY, 57), text("0123456789", 2, 58), of(DICTIONARY, 59)), quote, 1),
+        (F.concat(named, quote), text(alnum + "!#$%&*?@", short, 60), quote, 1),
+        (F.concat(of(SECRET_WORDS, 61), F.lit("=")), spelt, plain, 1),
+        (F.concat(of(SECRET_WORDS, 62), F.lit(' = "')), F.concat(of(DICTIONARY, 63), F.lit(" "), of(DICTIONARY, 64), F.lit(" "), of(DICTIONARY, 65), text("0123456789", 1, 66)), quote, 1),
+        (F.concat(of(SECRET_WORDS, 67), of("= : =", 68)), text(lower, size, 69), plain, 1),
+        (F.lit("Authorization: Bearer "), text(alnum + "-_.", (size + 8).cast("int"), 70), plain, 1),
+        (F.concat(of("postgres mysql amqp https redis", 71), F.lit("://"), of(DICTIONARY, 72), F.lit(":")), text(alnum, short, 73), F.concat(F.lit("@"), word), 1),
+        (plain, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), text(alnum + "+/", 64, 74), F.lit("\n"), text(alnum + "+/", 64, 75), F.lit("\n-----END RSA PRIVATE KEY-----")), plain, 1),
+        (F.concat(word, plain, of(SECRET_WORDS, 76), F.lit(": ")), F.concat(of(DICTIONARY, 77), of("s ed ing ly er", 78)), plain, 0),
+        (F.concat(word, plain, of(SECRET_WORDS, 79), F.lit(": ")), text("aeioulnrst", (short - 1).cast("int"), 80), plain, 0),
+        (F.concat(named, quote), of("changeme required none null ****** xxxxxxxx redacted undefined your_password example", 81), quote, 0),
+        (F.concat(of(SECRET_WORDS, 82), F.lit("=")), of("${PASSWORD} {{token}} %SECRET% your_api_key my_secret None false undefined ********", 83), plain, 0),
+        (F.concat(named, quote), F.concat(of(DICTIONARY, 84), F.lit(" "), of(DICTIONARY, 85), F.lit(" "), of(DICTIONARY, 86), F.lit(" "), of(DICTIONARY, 87)), quote, 0),
+        (F.concat(word, plain), F.concat(of(DICTIONARY, 88), F.initcap(of(DICTIONARY, 89)), F.initcap(of(DICTIONARY, 90)), F.initcap(of(DICTIONARY, 91)), F.initcap(of(DICTIONARY, 92))), plain, 0),
+    ]
     pick = F.pmod(i, F.lit(len(cases)))
     struct = None
     for k, (before, value, after, secret) in enumerate(cases):
@@ -115,12 +158,23 @@ def train(labelled: DataFrame, trees: int = FOREST, depth: int = DEPTH, most: in
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt").fit(rows)
 
 
-def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, start, end, before, value, after of every candidate in the whole texts."""
-    rows = base(df, key, text).filter(F.rlike(F.col(text), F.lit(RUN)))
-    found = rows.select(F.col(key), F.col(text).alias("_text"), F.explode(matches(F.col(text), RUN)).alias("m"))
+def _parts(found: Column) -> Column:
+    """A candidate as (start, end, lead, value): without its name and sign in front and its closing quote."""
+    lead = F.regexp_extract(found["value"], LEAD, 0)
+    inner = F.substring(found["value"], F.length(lead) + 1, F.length(found["value"]))
+    value = F.when(F.length(lead) > 0, F.regexp_replace(inner, CLOSE, "")).otherwise(inner)
+    start = found["start"] + F.length(lead)
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), lead.alias("lead"), value.alias("value"))
+
+
+def _candidates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, _mark, _mark2, start, end, before, value, after of every candidate in the whole texts."""
+    rows = marked(df, key, text).filter(F.rlike(F.col(text), F.lit(CANDIDATE)))
+    found = rows.select(key, "_mark", "_mark2", F.col(text).alias("_text"), F.explode(F.transform(matches(F.col(text), CANDIDATE), _parts)).alias("m"))
     return found.select(
         key,
+        "_mark",
+        "_mark2",
         F.col("m.start").alias("start"),
         F.col("m.end").alias("end"),
         F.expr(f"substring(_text, greatest(1, cast(m.start as int) - {REACH} + 1), least({REACH}, cast(m.start as int)))").alias("before"),
@@ -129,29 +183,38 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """One row per candidate: key, start, end (code points, end exclusive), value_sha256, probability, is_secret.
-
-    Texts that are null or without candidates give no rows; repeated rows repeat their findings.  The forest is trained from
-    ``labelled_findings`` unless given.
-    """
+def _scanned(df: DataFrame, key: str, text: str, model: RandomForestClassificationModel | None) -> DataFrame:
+    """scan() with _mark and _mark2 of the row."""
     model = model or train(labelled_findings(df.sparkSession))
-    found = candidates(df, key, text)
     made = features(F.col("before"), F.col("value"), F.col("after"))
-    ready = found.select(key, "start", "end", F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), *(c.cast("double").alias(f"_{n}") for n, c in made.items()))
+    ready = _candidates(df, key, text).select(key, "_mark", "_mark2", "start", "end", F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), *(c.cast("double").alias(f"_{n}") for n, c in made.items()))
     judged = model.transform(VectorAssembler(inputCols=[f"_{n}" for n in made], outputCol="features").transform(ready))
     probability = vector_to_array("probability")[1]
-    return judged.select(key, "start", "end", "value_sha256", F.round(probability, 6).alias("probability"), (probability >= LEAST).alias("is_secret"))
-
-
-def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``df`` with each secret replaced by ``[SECRET]``, and ``length``, if ``df`` has it, set anew for those rows."""
-    at, held = fresh(df, "_key"), fresh(df, "_spans")
-    spans = scan(df, key, text).filter("is_secret").select(key, "start", "end").distinct()
-    spans = written(spans.groupBy(F.col(key).alias(at)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(held)))
-    rest = by_ids(df, spans.select(at), key, keep=False)
-    hit = df.join(spans, column(df, key) == spans[at])
-    hit = hit.withColumn(text, masked(column(df, text), F.col(held), lambda s: F.lit("[SECRET]"))).drop(at, held)
-    if length and length in df.columns:
-        hit = hit.withColumn(length, F.length(column(hit, text)).cast(dict(df.dtypes)[length]))
-    return rest.unionByName(hit)
+    return judged.select(key, "_mark", "_mark2", "start", "end", "value_sha256", F.round(probability, 6).alias("probability"), (probability >= LEAST).alias("is_secret"))
+
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: RandomForestClassificationModel | None = None) -> DataFrame:
+    """One row per candidate: key, start, end (code points, end exclusive), value_sha256, probability, is_secret.
+
+    Texts that are null or without candidates give no rows; repeated rows repeat their findings.  A very long text, or one with very
+    many candidates, is one row until its candidates part; places are counted in blocks.  The forest is
+    trained from ``labelled_findings`` unless given (``train``).
+    """
+    return _scanned(df, key, text, model).drop("_mark", "_mark2")
+
+
+def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", model: RandomForestClassificationModel | None = None) -> DataFrame:
+    """``df`` with each secret replaced by ``[SECRET]``, and ``length``, if ``df`` has it, set anew for those rows.
+
+    Every row stays once, also with a null or repeated key: findings belong to (key, text).
+    """
+    found = _scanned(df, key, text, model).filter("is_secret").groupBy(key, "_mark", "_mark2")
+    spans = written(found.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    named, names = named_rows(df, spans)
+    # spans are a few numbers each; counted before they are broadcast
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) + spans.count() <= MOST_BROADCAST
+    both = df.join(F.broadcast(named) if few else named, same_row(df, key, (text,), named, names), "left")
+    held = F.col(names[3])
+    new = F.when(held.isNull(), column(both, text)).otherwise(masked(column(both, text), held, lambda s: F.lit("[SECRET]")))
+    size = F.when(held.isNull(), column(both, length)).otherwise(F.length(new).cast(dict(df.dtypes)[length])) if length and length in df.columns else None
+    return both.select(*(new.alias(c) if c == text else size.alias(c) if size is not None and c == length else column(both, c).alias(c) for c in df.columns))
