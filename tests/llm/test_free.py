@@ -254,10 +254,39 @@ def test_main_text(spark):
 
 
 def test_host_boilerplate(spark):
-    page = lambda i: f"<body><div>Welcome to the big site of all things</div><div>Menu of this place here now</div><p>Only page {i} says thing number {i * 7} and {i * 13} in its own words</p><div>All rights are with the owners of this</div></body>"
+    page = lambda i: f"<body><div>Welcome to the big site of all things</div><div>Menu of this place here now</div><p>Only page {i} says thing number {i * 7} and {i * 13} in its own words</p><div>Written by editor{i} whose rights are with the owners of this old site and nobody else</div></body>"
     same = "<article><p>The very same article on every page of this host, again and again.</p></article>"
-    df = spark.createDataFrame([(i, "https://one.org/p", page(i)) for i in range(300)] + [(1000 + i, "https://two.org/p", same) for i in range(20)], "page_id long, url string, html string")
-    out = {r["page_id"]: r["text"] for r in host_suffixes.main_text(df, group=40).collect()}
-    assert all(out[i] == f"Only page {i} says thing number {i * 7} and {i * 13} in its own words" for i in range(300))
-    assert all("very same article" in out[1000 + i] for i in range(20))
-    assert df.count() == len(out) and F is not None
+    mirror = "<div>A text in plain blocks that is mirrored as it is on many pages of one host</div><div>And its second block here</div>"
+    around = lambda i: f"<div><h1>Title out {i}</h1><p>Lead para outside {i}</p><article><p>Body {i} with words</p><p>Subscribe to our paper now</p></article><p>Tail para {i}</p><p>Read more here</p></div>"
+    sets = [("one", page, 300), ("two", lambda i: same, 20), ("three", lambda i: mirror, 5), ("four", around, 40)]
+    rows = [(1000 * k + i, f"https://{h}.org/p", f(i)) for k, (h, f, n) in enumerate(sets) for i in range(n)] + [(None, f"https://four.org/p{i}", around(50)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = host_suffixes.main_text(df, group=40).collect()
+    out = {r["page_id"]: r["text"] for r in got}
+    assert all(out[i] == f"Only page {i} says thing number {i * 7} and {i * 13} in its own words\nWritten by editor{i}" for i in range(300))
+    assert all("very same article" in out[1000 + i] for i in range(20)) and all(out[2000 + i].count("block") == 2 for i in range(5))
+    assert all(out[3000 + i] == f"Title out {i}\nLead para outside {i}\nBody {i} with words\nTail para {i}" for i in range(40))
+    assert len(got) == len(rows) and sum(r["page_id"] is None and "Body 50" in r["text"] for r in got) == 3
+
+
+def test_repeated_runs_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(40):
+        run = [rnd.choice("abcdefgh") * 2 for _ in range(6)]
+        pages = [[[rnd.choice("abc") for _ in range(rnd.randrange(0, 9))] + (run if rnd.random() < 0.5 else []) + [rnd.choice("abc") for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(1, 3))] for _ in range(rnd.randrange(1, 7))]
+        same = [rnd.randrange(6) for _ in pages]
+        held = defaultdict(set)
+        for p, s in zip(pages, same, strict=True):
+            for b in p:
+                for i in range(len(b) - 3):
+                    held[tuple(b[i : i + 4])].add(s)
+        want = [[[any(0 <= k <= len(b) - 4 and k <= i < k + 4 and len(held[tuple(b[k : k + 4])]) >= 3 for k in range(i - 3, i + 1)) for i in range(len(b))] for b in p] for p in pages]
+        assert host_suffixes.repeated(pages, same, 4, 3) == want
+
+
+def test_deep_and_unclosed_markup_in_linear_time():
+    import time
+
+    start = time.time()
+    assert host_suffixes.blocks("<div>" * 60_000 + "x")[0][0] == "x" and host_suffixes.blocks("<b>" * 30_000 + "<p>y</p></i>" * 30_000)[0][0] == "y"
+    assert time.time() - start < 8
