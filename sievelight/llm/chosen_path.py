@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_rows, forget, marked, one_each, row_count, shingle_set, written
+from .common import MOST_BROADCAST, WordHashes, by_rows, column, forget, marked, named_rows, one_each, row_count, same_row, shingle_set, written
 from .components import components
 
 #: Minwise tokens of a document.
 TOKENS = 64
-#: Trees, token positions of a root and those that a document branches on, branches below it, and looks at nodes,
-#: two of them at the roots.
-TREES, ROOT_TOKENS, ROOT_BRANCHES, BRANCHES, LEVELS = 3, 8, 4, 2, 3
+#: Trees, token positions of a root and those that a document branches on, branches below it, and levels.
+TREES, ROOT_TOKENS, ROOT_BRANCHES, BRANCHES, LEVELS = 3, 8, 4, 2, 2
 #: Root tokens that a document must have in common with any others to have a partner at all, and those in small nodes that suffice.
 NEED, ENOUGH = 8, 8
 #: A node is compared exhaustively with at most LEAF squared pairs, or LINEAR for each of its documents.
@@ -181,17 +180,17 @@ class _Sets:
         self.tokens = self.named.select("id", "tokens")
 
     def texts(self, ids: DataFrame) -> DataFrame:
-        """(id, text) of the representatives in ``ids``."""
-        rows = written(self.named.join(ids, "id", "left_semi").select("id", "least.key", "least._mark", "least._mark2"))
-        found = marked(by_rows(self.df, rows.drop("id"), self.key, self.text, keep=True), self.key, self.text)
-        same = found[f"`{self.key}`"].eqNullSafe(rows["key"]) & (found["_mark"] == rows["_mark"]) & (found["_mark2"] == rows["_mark2"])
-        side = F.broadcast(rows) if row_count(rows) <= 1_000_000 else rows
-        return written(found.join(side, same).select("id", found[f"`{self.text}`"].alias("text")).dropDuplicates(["id"]))
+        """(id, text) of the representatives in ``ids``, as often as their key and text are repeated."""
+        rows = written(self.named.join(ids, "id", "left_semi").select("least.key", "least._mark", "least._mark2", "id"))
+        named, names = named_rows(self.df, rows)
+        side = F.broadcast(named) if row_count(rows) <= MOST_BROADCAST else named
+        found = self.df.join(side, same_row(self.df, self.key, (self.text,), named, names))
+        return written(found.select(F.col(names[3]).alias("id"), column(found, self.text).alias("text")))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The confirmed ones of ``pairs``."""
         pairs = written(_likely(pairs, self.tokens))
-        texts = self.texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        texts = self.texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         found = written(confirmed(pairs, texts, self.size, self.percent))
         forget(texts)
         return found
@@ -209,7 +208,7 @@ class _Sets:
                         part = found[at : at + 20_000].view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.full(len(part), len(found))), pa.array(part)], ["id", "n", "shingle"])
 
-        out = written(texts.select("id", "text").mapInArrow(work, "id bigint, n bigint, shingle bigint").join(rows, "id"))
+        out = written(texts.dropDuplicates(["id"]).select("id", "text").mapInArrow(work, "id bigint, n bigint, shingle bigint").join(rows, "id"))
         forget(texts)
         return out
 
@@ -283,12 +282,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 def _all_links(nodes: DataFrame, sets: _Sets) -> DataFrame:
     """Links (a, b) that connect what is similar: from leaders, small nodes, branches of large ones, and the exact join at last.
 
-    Links found so far decide which pairs are still worth comparing, so they are confirmed step by step.
+    The leaders' links are confirmed first: what they connect needs no other comparison.
     """
     leaders = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "id")).alias("typical")).filter("n > 1").select(F.col("path").alias("_path"), F.col("typical.id").alias("leader")))
     links = sets.links(_stars(nodes.join(leaders, F.col("path") == F.col("_path"))).distinct())
     forget(leaders)
     labels = components(links)
+    found: DataFrame | None = None
     full: DataFrame | None = None
     for level in range(LEVELS):
         rows = written(_occupied(_relabelled(nodes, labels)))
@@ -298,20 +298,18 @@ def _all_links(nodes: DataFrame, sets: _Sets) -> DataFrame:
         # whoever isn't of the largest component meets all of another one; the largest never meets itself
         outside = small.filter("component != major").select("path", F.col("id").alias("x"), "component")
         other = small.select("path", F.col("id").alias("y"), F.col("component").alias("other"))
-        pairs = outside.join(other, "path").filter("component != other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        links = links.union(sets.links(pairs.union(_stars(large)).distinct()))
+        pairs = outside.join(other, "path").filter("component != other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(_stars(large))
+        found = pairs if found is None else found.union(pairs)
         if large.isEmpty():
-            return links
-        labels = components(links)
-        if level == 0:  # the same nodes once more, with what is known now
-            nodes = large
-            continue
-        if level == 1:
+            break
+        if level == 0:
             full = sets.possible(large.select("id", "component").distinct())
             large = large.join(full.select("id").distinct(), "id", "left_semi")
         if level == LEVELS - 1:
-            return links.union(sets.links(sets.exact_pairs(full.join(large.select("id").distinct(), "id", "left_semi"))))
+            found = found.union(sets.exact_pairs(full.join(large.select("id").distinct(), "id", "left_semi")))
+            break
         nodes = written(_children(large, sets.tokens, BRANCHES))
+    return links.union(sets.links(found.distinct()))
 
 
 def _stars(rows: DataFrame) -> DataFrame:

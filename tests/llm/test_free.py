@@ -128,7 +128,7 @@ def planted_pairs(n, rnd, line=True):
 def test_recall_around_a_hot_passage(spark, monkeypatch, last):
     """Every link is found; with no node small and one level, by the exact join alone."""
     if last:
-        for name, value in (("LEAF", 0), ("LINEAR", 0), ("LEVELS", 2), ("LARGE", 4)):
+        for name, value in (("LEAF", 0), ("LINEAR", 0), ("LEVELS", 1), ("LARGE", 4)):
             monkeypatch.setattr(chosen_path, name, value)
     rows = planted_pairs(60, random.Random(6))
     want = brute_force(rows)
