@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
 from ..functions.lineage import cut
+from ..functions.text import count_contained
 from ..lexicon import CHINESE, LanguagePack
-from ..operators.cleaning import Cleaner
+from ..operators.cleaning import clean_body
 
 # What holds an article, surely and perhaps, and what never belongs to one.
 STRICT = [".wp_articlecontent", "#wp_articlecontent", ".arti_content", ".article_content", ".article-content", ".v_news_content", ".news_content", ".news-con", ".news_con", ".content-detail", ".detail_content", ".TRS_Editor", "[id*=wp_articlecontent]", "[class*=wp_articlecontent]"]
@@ -22,7 +24,7 @@ FALLBACK = ["article", ".article", ".main_content", ".main-content", ".article-m
 BAD = ["script", "style", "noscript", "nav", "footer", "header", "aside", "form", "iframe", ".nav", ".navbar", ".menu", ".submenu", ".footer", ".header", ".breadcrumb", ".location", ".position", ".share", ".search", ".sider", ".sidebar", ".leftmenu", ".rightmenu", ".wp_nav", ".wp_menu", "#nav", "#footer", "#header"]
 FILES = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip", ".rar", ".ppt", ".pptx")
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-PAGE = "title string, body string, links array<string>, attachments array<struct<name:string,url:string>>, kind string"
+PAGE = "title string, containers array<struct<weight:int,text:string>>, links array<string>, attachments array<struct<name:string,url:string>>"
 
 
 class Node:
@@ -89,30 +91,22 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def main_text(root: Node, title: str, cleaner: Cleaner, limit: int = 30_000) -> tuple[str, bool]:
-    """The best container's cleaned text, and whether there was one: by length, long lines and boilerplate; ties to the first."""
-    best, score = "", None
+def containers(root: Node) -> list[tuple[int, str]]:
+    """(weight, raw text) of every element that a selector takes for the main text, the strict selectors first; behind them the whole body (weight -1)."""
     nodes = list(root.walk())
-    for weight, selectors in ((100, STRICT), (20, FALLBACK)):
-        for selector in selectors:
-            for node in (n for n in nodes if n.tag and n.matches(selector)):
-                text = cleaner.clean("\n".join(node.strings()), title, limit)
-                value = weight + min(len(text), 5000) // 20 + 8 * sum(len(x) >= 28 for x in text.splitlines()) - 60 * sum(t in text for t in cleaner.pack.boilerplate_terms)
-                if len(text) >= 30 and (score is None or value > score):
-                    best, score = text, value
-    if score is not None:
-        return best.strip(), True
+    found = [(weight, "\n".join(node.strings())) for weight, selectors in ((100, STRICT), (20, FALLBACK)) for selector in selectors for node in nodes if node.tag and node.matches(selector)]
     body = next((n for n in nodes if n.tag == "body"), root)
-    return cleaner.clean("\n".join(body.strings()), title, limit), False
+    return [*found, (-1, "\n".join(body.strings()))]
 
 
-def title_of(root: Node) -> str:
+def title_of(root: Node, site: str = "") -> str:
+    """The longest heading or title, else the sharing title; without the site's name behind a dash."""
     nodes = list(root.walk())
     found = [re.sub(r"\s+", " ", " ".join(n.strings() if n.tag != "title" else (c for c in n.children if isinstance(c, str)))).strip() for n in nodes if n.tag in ("h1", "title") or any(n.matches(s) for s in (".arti_title", ".article-title", ".news_title") if n.tag)]
     best = max(found, key=len, default="")
     if not best:
         best = next((n.attributes.get("content") or "" for n in nodes if n.tag == "meta" and n.attributes.get("property") == "og:title"), "")
-    return best[:200]
+    return re.sub(r"\s*-\s*" + re.escape(site) + ".*$", "", best, flags=re.S)[:200] if site else best[:200]
 
 
 def resolved(base: str, href: str | None) -> str | None:
@@ -131,10 +125,9 @@ def is_file(url: str) -> bool:
     return urlsplit(url).path.lower().endswith(FILES)
 
 
-def parse(url: str, page: str | None, cleaner: Cleaner) -> dict:
+def parse(url: str, page: str | None, site: str = "") -> dict:
+    """What needs the tree: title, containers of text, links and attachments."""
     root = Tree(page or "").root
-    title = title_of(root)
-    body, container = main_text(root, title, cleaner)
     links, attachments = [], {}
     for node in root.walk():
         for name in ("href", "pdfsrc", "filesrc"):
@@ -146,22 +139,43 @@ def parse(url: str, page: str | None, cleaner: Cleaner) -> dict:
                 attachments.setdefault(target, {"name": told[:160], "url": target})
             elif urlsplit(target).netloc == urlsplit(url).netloc and not re.search(r"/_upload/|/_t|/main\.htm", target):
                 links.append(target)
-    dates = len(re.findall(r"20\d{2}[-./年]\d{1,2}[-./月]\d{1,2}", body))
-    listing = not container and dates >= 5 and sum(len(x) >= 8 for x in body.split("\n")) >= 12
-    path = urlsplit(url).path
-    kind = "home" if path in ("", "/", "/index.html", "/index.htm", "/main.htm") else "list" if "list" in path else "listing_like_page" if listing else "article" if container else "no_article_container"
-    return {"title": title, "body": body, "links": list(dict.fromkeys(links)), "attachments": list(attachments.values()), "kind": kind}
+    return {"title": title_of(root, site), "containers": [{"weight": w, "text": t} for w, t in containers(root)], "links": list(dict.fromkeys(links)), "attachments": list(attachments.values())}
+
+
+def main_text(found: Column, title: Column, pack: LanguagePack) -> Column:
+    """(container, text) of the best container: by its weight, length, long lines and boilerplate, ties to the first; else the cleaned body."""
+    cleaned = F.transform(found, lambda c, i: F.struct(c["weight"].alias("weight"), i.alias("at"), clean_body(c["text"], title, pack).alias("text")))
+
+    def chosen(cleaned: Column) -> Column:
+        def value(c: Column) -> Column:
+            long_lines = F.size(F.filter(F.split(c["text"], "\n"), lambda x: F.length(x) >= 28))
+            return c["weight"] + F.floor(F.least(F.length(c["text"]), F.lit(5000)) / 20) + 8 * long_lines - 60 * count_contained(c["text"], pack.boilerplate_terms)
+
+        good = F.filter(cleaned, lambda c: (c["weight"] > 0) & (F.length(c["text"]) >= 30))
+        best = F.array_max(F.transform(good, lambda c: F.struct(value(c).alias("value"), (-c["at"]).alias("order"), c["text"].alias("text"))))
+        return F.struct(best.isNotNull().alias("container"), F.coalesce(best["text"], F.element_at(cleaned, -1)["text"]).alias("text"))
+
+    return bound(cleaned, chosen)
+
+
+def page_kind(url: Column, body: Column, container: Column) -> Column:
+    """home, list, listing_like_page, article or no_article_container."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    dates = F.size(F.regexp_extract_all(body, F.lit(r"20\d{2}[-./年]\d{1,2}[-./月]\d{1,2}"), F.lit(0)))
+    listing = ~container & (dates >= 5) & (F.size(F.filter(F.split(body, "\n"), lambda x: F.length(x) >= 8)) >= 12)
+    home = path.isin("", "/", "/index.html", "/index.htm", "/main.htm")
+    return F.when(home, "home").when(F.contains(path, F.lit("list")), "list").when(listing, "listing_like_page").when(container, "article").otherwise("no_article_container")
 
 
 def parsed(pages: DataFrame, pack: LanguagePack = CHINESE, url: str = "url", content: str = "html") -> DataFrame:
-    """``pages`` with title, body, links (same host), attachments and the page's kind."""
+    """``pages`` with title, body, links (same host), attachments and the page's kind; only the tree is read in Python."""
 
     @F.pandas_udf(PAGE)
     def read(urls: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        cleaner = Cleaner(pack)
-        return pd.DataFrame([parse(u or "", c, cleaner) for u, c in zip(urls, contents, strict=True)], columns=["title", "body", "links", "attachments", "kind"])
+        return pd.DataFrame([parse(u or "", c, pack.institution) for u, c in zip(urls, contents, strict=True)], columns=["title", "containers", "links", "attachments"])
 
-    return pages.withColumn("_p", read(F.col(url), F.col(content))).select("*", "_p.*").drop("_p")
+    out = pages.withColumn("_p", read(F.col(url), F.col(content))).withColumn("_main", main_text(F.col("_p.containers"), F.col("_p.title"), pack))
+    return out.select(*(F.col(f"`{c}`") for c in pages.columns), "_p.title", F.col("_main.text").alias("body"), "_p.links", "_p.attachments", page_kind(F.col(url), F.col("_main.text"), F.col("_main.container")).alias("kind"))
 
 
 def allowed_links(links: DataFrame, link: str, include: list[str], exclude: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@ import io
 import zipfile
 
 from sievelight.lexicon import LATIN
-from sievelight.operators.cleaning import Cleaner
 from sievelight.sources import attachments, pages
 from sievelight.streaming import tasks
 
@@ -12,16 +11,22 @@ PAGE = """<html><head><title>Long title of the page - site</title></head><body><
 <a href="/next.htm#top">next</a><a href="javascript:void(0)">no</a><a href="https://other.org/">other</a><footer>footer text</footer></body></html>"""
 
 
-def test_page():
-    out = pages.parse("https://www.x.org/2023/0918/a.htm", PAGE, Cleaner(LATIN))
+def read(spark, *rows):
+    return pages.parsed(spark.createDataFrame(rows, "url string, html string"), LATIN).collect()
+
+
+def test_page(spark):
+    out = read(spark, ("https://www.x.org/2023/0918/a.htm", PAGE))[0]
     assert out["kind"] == "article" and "First paragraph" in out["body"] and "footer" not in out["body"]
     assert out["links"] == ["https://www.x.org/next.htm"]
     assert {a["url"] for a in out["attachments"]} == {"https://www.x.org/files/form.pdf", "https://www.x.org/x/y.pdf"}
+    assert pages.title_of(pages.Tree("<title>A long title -  Some School home</title>").root, "Some School") == "A long title"
 
 
-def test_broken_pages_do_not_crash():
-    for page in (None, "", "<", "<p", "<div><div>" * 2000, "text only", "<a href='http://[bad'>x</a>"):
-        assert pages.parse("https://x.org/", page, Cleaner(LATIN))["kind"] in ("home", "article", "no_article_container", "list", "listing_like_page")
+def test_broken_pages_do_not_crash(spark):
+    broken = (None, "", "<", "<p", "<div><div>" * 2000, "text only", "<a href='http://[bad'>x</a>")
+    out = read(spark, *(("https://x.org/", page) for page in broken), (None, PAGE))
+    assert len(out) == 8 and {r["kind"] for r in out} == {"home"}
 
 
 def package(**files):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import dates, text, vectors
 from sievelight.lexicon import CHINESE
 from sievelight.operators import chunking, enrich
-from sievelight.operators.cleaning import Cleaner
+from sievelight.operators import cleaning
 from sievelight.plans import query_plan as plans
 
 
@@ -44,15 +44,28 @@ def test_hash_embedding_is_unit_length(spark):
     assert abs(sum(x * x for x in out[1]) - 1) < 1e-4 and sum(map(abs, out[2])) == 0 and len(out[3]) == 128
 
 
-def test_cleaning_drops_navigation_and_footer():
+def cleaned(spark, body, title=""):
+    return spark.createDataFrame([(body, title)], "b string, t string").select(cleaning.clean_body(F.col("b"), F.col("t"))).first()[0]
+
+
+def test_cleaning_drops_navigation_and_footer(spark):
     body = "首页\n部门简介\n领导分工\n教务科\n办事平台\n信息通知\n关于举办学术讲座的通知\n2024-03-01\n各位同学：\n讲座将在礼堂举行，欢迎大家参加并踊跃提问。\n版权所有 某大学\n尾部"
-    out = Cleaner().clean(body, "关于举办学术讲座的通知")
-    assert "讲座将在礼堂举行" in out and "版权所有" not in out and "部门简介" not in out and not out.startswith("关于")
+    out = cleaned(spark, body, "关于举办学术讲座的通知")
+    assert out == "各位同学：\n讲座将在礼堂举行，欢迎大家参加并踊跃提问。"
+
+
+def test_cleaning_joins_fragments(spark):
+    assert cleaned(spark, "报名时间为2024年3\n月\n5\n日，请大家准时参加。") == "报名时间为2024年3月5日，请大家准时参加。"
+    assert cleaned(spark, "first of\ntwo") == "first of two" and cleaned(spark, None) == "" and cleaned(spark, "") == ""
+    assert cleaned(spark, "第一条内容完整。\n二、下一段") == "第一条内容完整。\n二、下一段"
 
 
-def test_cleaning_joins_fragments():
-    assert Cleaner().clean("报名时间为2024年3\n月\n5\n日，请大家准时参加。") == "报名时间为2024年3月5日，请大家准时参加。"
-    assert Cleaner().clean(None) == ""
+def test_cleaning_drops_excerpts_frames_and_repeats(spark):
+    assert cleaned(spark, "正文内容在这里，说明一件事情。\n附件正文摘录：\n别的") == "正文内容在这里，说明一件事情。"
+    assert cleaned(spark, "首页\n联系电话 12345") == ""
+    lines = ["导师风采 管理规定", "这一行是普通的正文内容，说明情况。", "导师风采 管理规定", "这一行是普通的正文内容，说明情况。"]
+    flat = spark.createDataFrame([(lines,)], "l array<string>").select(cleaning.without_repeats(F.col("l"))).first()[0]
+    assert flat == [lines[0], lines[1], lines[3]]
 
 
 def test_chunks_cover_the_body_and_carry_the_end():
