@@ -15,7 +15,6 @@ from .functions import dates, text, vectors
 from .functions.lineage import cut
 from .lexicon import LATIN
 from .operators import chunking, cleaning, enrich, fulltext, judging, quality, search, store
-from .plans import rules
 from .plans.query_plan import QueryPlan, UserProfile
 from .sources import pages as web
 from .streaming import tasks
@@ -358,19 +357,6 @@ def session_context(spark, sf):
     return tasks.contextual(table(spark, sf, "conversations"), "conv_id", "turn", "text", r"^(it|this|that|the|of)\b").select("conv_id", "turn", "context")
 
 
-TEST_SLOTS = [("first", "(?i)the"), ("second", "tion"), ("third", "[0-9]{2}"), ("fourth", "(?i)^a")]
-
-
-@query("SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in TEST_SLOTS) + "], lambda x: x IS NOT NULL), ',') AS slots FROM conversations")
-def slot_detect(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", rules.slots(F.col("text"), TEST_SLOTS).alias("slots"))
-
-
-@query("SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TEST_SLOTS) + " ELSE 'none' END AS intent FROM benchmark")
-def intent_rules(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", rules.intent(F.col("text"), TEST_SLOTS, "none").alias("intent"))
-
-
 @query("SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(url, '^https?://[^/]+')")
 def url_normalise(spark, sf):
     parts = enrich.url_parts(F.col("url"))
@@ -507,8 +493,11 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalogue_evidence, catalogue_fields, catalogue_rules  # noqa: F401  these register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -31,4 +31,4 @@ def from_place(items: Column, place: Column) -> Column:
 
 def merged_terms(*lists: Column) -> Column:
     """Trimmed non-empty terms of all lists, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(F.concat(*lists), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(*lists), lambda t: F.trim(t)), lambda t: t != ""))
