@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, text, vectors
-from .functions.lineage import cut
+from .functions.lineage import fresh_folder
 from .lexicon import LATIN
-from .operators import chunking, cleaning, enrich, fulltext, judging, quality, search, store
+from .operators import chunking, cleaning, enrich, fulltext, index, judging, quality, search, store
 from .plans.query_plan import QueryPlan, UserProfile
 from .sources import pages as web
 from .streaming import tasks
@@ -146,7 +146,7 @@ def index_chunks(spark, sf):
 @query("""SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_total FROM (
   SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(strip_accents(lower(text)), '[^\\pL\\pN]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL) GROUP BY term""")
 def postings(spark, sf):
-    index = fulltext.postings(table(spark, sf, "documents"), "doc_id", ["text"])
+    index = fulltext.term_counts(table(spark, sf, "documents"), "doc_id", ["text"])
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_total"))
 
 
@@ -172,7 +172,7 @@ def bm25_topk(spark, sf):
     docs = documents(spark, sf)
     weights = {"title": 4.0, "body": 1.0}
     phrases = fulltext.queries_frame(spark, benchmark_queries(spark, sf), LATIN)
-    ranks = fulltext.bm25(fulltext.postings(docs, "id", list(weights)), fulltext.lengths(docs, "id", list(weights)), phrases, "id", weights)
+    ranks = fulltext.bm25(fulltext.postings(docs, "id", list(weights), phrases), fulltext.lengths(docs, "id", list(weights)), phrases, "id", weights)
     return fulltext.top_hits(ranks.withColumn("rank", F.round("rank", 6)), "id").select(F.col("query_id").alias("item_id"), "id", "rank")
 
 
@@ -289,11 +289,28 @@ def feature_score(spark, sf):
     return hits.select("id", F.round(search.feature_score(PLAN, UserProfile(), AS_OF, LATIN), 4).alias("score"))
 
 
+_INDEXES: dict[tuple[str, str], index.Index] = {}
+
+
+def stored_index(spark, sf) -> index.Index:
+    """The index of the documents, built once a session, as an ingest would; it goes when the session ends."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        docs = documents(spark, sf)
+        _INDEXES[key] = index.build(docs, chunking.indexed(docs, LATIN), fresh_folder(spark))
+    return _INDEXES[key]
+
+
+@query()
+def index_build(spark, sf):
+    return stored_index(spark, sf).corpus().withColumn("average", F.round("average", 6))
+
+
 @query()
 def search_hits(spark, sf):
-    docs = documents(spark, sf)
+    docs, stored = documents(spark, sf), stored_index(spark, sf)
     plan = QueryPlan("license of the", retrieval_keywords=["license", "tion"], expanded_queries=["the blehe"], time_scope="current")
-    return search.search(docs, cut(chunking.indexed(docs, LATIN)), plan, AS_OF, limit=24, pack=LATIN).select("rank", "document_id", "chunk_id", "score", "note")
+    return search.search(docs, stored.chunks(), plan, AS_OF, limit=24, pack=LATIN, index=stored).select("rank", "document_id", "chunk_id", "score", "note")
 
 
 @query("SELECT c_custkey, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND (contains(n_name, 'NATION_1') OR contains('NATION_1', n_name))")

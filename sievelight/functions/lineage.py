@@ -29,16 +29,22 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/sievelight-{uuid.uuid4().hex}"
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a lost executor then costs one stage.
 
     The table is deleted by ``forget``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sievelight-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
-    files, place = _place(spark, path)
-    files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_to = path
     return out

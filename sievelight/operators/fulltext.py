@@ -20,13 +20,21 @@ CHUNK_WEIGHTS = {"title": 4.0, "search_text": 1.5, "chunk_text": 1.0, "source":
 QUERY_TOKENS, HITS = 12, 60
 
 
-def postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, term, tf, positions), one row per term of each field."""
+def postings(df: DataFrame, key: str, fields: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(key, field, term, tf, positions), one row per term of each field; of ``terms`` (term; a query's, so few) only, if given."""
     tokens = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), index_tokens(F.col(f)).alias("tokens")) for f in fields)))
     places = df.select(key, tokens.alias("t")).select(key, "t.field", F.posexplode("t.tokens").alias("position", "term"))
+    if terms is not None:
+        places = places.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     return places.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+def term_counts(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, term, tf): postings() without positions."""
+    tokens = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), index_tokens(F.col(f)).alias("tokens")) for f in fields)))
+    return df.select(key, tokens.alias("t")).select(key, "t.field", F.explode("t.tokens").alias("term")).groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def lengths(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, length): tokens of all fields."""
     total = sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0))
@@ -55,16 +63,17 @@ def phrase_counts(index: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     return single.unionByName(whole.groupBy("query_id", "phrase_id", key, "field").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, phrases: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+def bm25(index: DataFrame, sizes: DataFrame, phrases: DataFrame, key: str, weights: dict[str, float], corpus: DataFrame | None = None) -> DataFrame:
     """(query_id, key, rank): the negated BM25 score, lower is better, as full-text indexes give it.
 
     The frequency of a phrase is the weighted sum over fields; a phrase's inverse document frequency counts the rows with it in any field.
+    ``corpus`` (n_rows, average), one row, is counted from ``sizes`` unless given.
     """
     weight = F.lit(0.0)
     for field, w in weights.items():
         weight = F.when(F.col("field") == field, F.lit(float(w))).otherwise(weight)
     found = phrase_counts(index, phrases, key).groupBy("query_id", "phrase_id", key).agg(F.sum(weight * F.col("tf")).alias("f"))
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("average"))
+    corpus = corpus or sizes.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("average"))
     counts = found.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("n_with"))
     idf = F.log((F.col("n_rows") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)

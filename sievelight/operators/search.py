@@ -20,6 +20,7 @@ from ..lexicon import CHINESE, LanguagePack
 from ..plans import query_plan as plans
 from ..plans.query_plan import QueryPlan, UserProfile
 from . import fulltext
+from .index import Index
 
 #: Limits of the channels.
 QUERIES, LIKE_HITS, SCANNED_VECTORS, VECTOR_HITS, LEAST_SIMILARITY = 16, 30, 1200, 24, 0.18
@@ -41,35 +42,60 @@ def in_collection(docs: DataFrame, members: DataFrame | None, collection_id: int
     return docs.join(members.filter(F.col("collection_id") == collection_id).select(F.col("document_id").alias("id")), "id", "left_semi")
 
 
-def fulltext_channel(docs: DataFrame, chunks: DataFrame, queries: list[str], pack: LanguagePack = CHINESE) -> DataFrame:
-    """Up to 60 chunks for each of the first 16 query strings."""
-    joined = chunks.join(docs.select(F.col("id").alias("document_id"), "title", "source", F.array_join(_list("topics"), " ").alias("topics"), "body"), "document_id")
+def fulltext_channel(docs: DataFrame, chunks: DataFrame, queries: list[str], pack: LanguagePack = CHINESE, index: Index | None = None) -> DataFrame:
+    """Up to 60 chunks for each of the first 16 query strings, from the stored ``index`` if there is one."""
+    own = docs.select(F.col("id").alias("document_id"), "title", "source", F.array_join(_list("topics"), " ").alias("topics"))
     fields = list(fulltext.CHUNK_WEIGHTS)
     phrases = fulltext.queries_frame(docs.sparkSession, dict(enumerate(queries[:QUERIES])), pack)
-    ranks = fulltext.bm25(fulltext.postings(joined, "chunk_id", fields), fulltext.lengths(joined, "chunk_id", fields), phrases, "chunk_id", fulltext.CHUNK_WEIGHTS)
+    if index is None:
+        joined = chunks.select("chunk_id", "document_id", "search_text", "chunk_text").join(own, "document_id")
+        ranks = fulltext.bm25(fulltext.postings(joined, "chunk_id", fields, phrases), fulltext.lengths(joined, "chunk_id", fields), phrases, "chunk_id", fulltext.CHUNK_WEIGHTS)
+    else:
+        terms = sorted({t for q in queries[:QUERIES] for p in fulltext.query_phrases(q, pack) for t in p})
+        found = index.postings(terms)
+        ranks = fulltext.bm25(found, index.lengths(), phrases, "chunk_id", fulltext.CHUNK_WEIGHTS, index.corpus())
+        # chunks of other collections neither count nor rank
+        ranks = ranks.join(chunks.select("chunk_id", "document_id").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
     terms = texts([(fulltext.query_phrases(q, pack) or [[q]])[0][0] for q in queries[:QUERIES]])
-    hits = fulltext.top_hits(ranks, "chunk_id").join(joined, "chunk_id")
+    # at most HITS rows for each of QUERIES strings: fit to broadcast to the texts
+    hits = F.broadcast(fulltext.top_hits(ranks, "chunk_id").select("query_id", "chunk_id", "rank", "place"))
+    told = chunks.select("chunk_id", "document_id", "chunk_text").join(hits, "chunk_id")
+    told = docs.select(F.col("id").alias("document_id"), "body").join(F.broadcast(told), "document_id")
     shown = fulltext.hit_snippet(F.col("chunk_text"), F.col("body"), F.get(terms, F.col("query_id").cast("int")))
-    return hits.select("document_id", "chunk_id", fulltext.base_score(F.col("rank")).alias("base"), shown.alias("snippet"), F.lit(0).alias("channel"), (F.col("query_id") * 1000 + F.col("place")).alias("place"))
+    return told.select("document_id", "chunk_id", fulltext.base_score(F.col("rank")).alias("base"), shown.alias("snippet"), F.lit(0).alias("channel"), (F.col("query_id") * 1000 + F.col("place")).alias("place"))
 
 
-def like_channel(docs: DataFrame, terms: list[str], columns: list[str], channel: int, in_title: float, elsewhere: float, most: int = LIKE_HITS) -> DataFrame:
+def like_channel(docs: DataFrame, terms: list[str], columns: list[str], channel: int, in_title: float, elsewhere: float, most: int = LIKE_HITS, attachments: bool = False) -> DataFrame:
     """For each term the newest documents that have it in one of the columns; ASCII case doesn't count, ``%`` and ``_`` are wildcards."""
     if not terms:
         return docs.sparkSession.createDataFrame([], HIT)
-    listed = F.explode(F.array(*(F.struct(F.lit(i).alias("n"), F.lit(t).alias("term")) for i, t in enumerate(terms))))
     flat = docs.select("*", *(F.array_join(_list(c), " ").alias(f"_{c}") for c in columns if dict(docs.dtypes)[c].startswith("array<string")))
-    flat = flat.select("*", listed.alias("t"))
-    names = [f"_{c}" if f"_{c}" in flat.columns else c for c in columns]
-    # a backslash is no escape in the terms; % and _ stay live
-    pattern = r"concat('%', replace(t.term, '\\\\', '\\\\\\\\'), '%')"
-    met = reduce(lambda a, b: a | b, (F.expr(f"coalesce(`{c}`, '') ilike {pattern}") for c in names))
+    if attachments:
+        flat = flat.withColumn("_attachments", F.coalesce(F.to_json("attachments"), F.lit("")))
+    names = [f"_{c}" if f"_{c}" in flat.columns else c for c in columns] + (["_attachments"] if attachments else [])
+
+    def met(term: str) -> Column:
+        # a backslash is no escape in the terms; % and _ stay live
+        pattern = F.lit("%" + term.replace("\\", "\\\\") + "%")
+        return reduce(lambda a, b: a | b, (F.ilike(F.coalesce(F.col(f"`{c}`"), F.lit("")), pattern) for c in names))
+
+    # the terms that a row has are few; only these make rows
+    held = F.filter(F.array(*(F.when(met(t), F.struct(F.lit(i).alias("n"), F.lit(t).alias("term"))) for i, t in enumerate(terms))), lambda x: x.isNotNull())
+    flat = flat.select("*", held.alias("_held")).filter(F.size("_held") > 0).select("*", F.explode("_held").alias("t"))
     newest = Window.partitionBy("t.n").orderBy(F.desc_nulls_last("publish_date"), F.desc("id"))
-    hits = flat.filter(met).withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
+    hits = flat.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
     base = F.when(F.contains(_text("title"), F.col("t.term")), in_title).otherwise(elsewhere)
     return hits.select(F.col("id").alias("document_id"), F.lit(None).cast("bigint").alias("chunk_id"), base.alias("base"), snippet(F.col("body"), F.col("t.term")).alias("snippet"), F.lit(channel).alias("channel"), (F.col("t.n") * 1000 + F.col("place")).cast("bigint").alias("place"))
 
 
+def profile_channel(docs: DataFrame, terms: list[str], recalled: DataFrame, limit: int) -> DataFrame:
+    """The first ``2 * limit`` documents that have a profile term, if other channels found fewer than ``max(4, limit // 2)``."""
+    found = like_channel(docs, terms, ["source", "title", "body", "applicable_colleges", "applicable_grades", "student_types"], 3, 0.7, 0.7)
+    first = found.orderBy("place").limit(2 * limit)
+    enough = recalled.select("document_id").distinct().limit(max(4, limit // 2)).agg((F.count(F.lit(1)) >= max(4, limit // 2)).alias("_enough"))
+    return first.join(F.broadcast(enough), ~F.col("_enough"), "left_semi")  # one row on that side
+
+
 def latest_channel(docs: DataFrame, limit: int) -> DataFrame:
     newest = docs.orderBy(F.desc_nulls_last("publish_date"), F.desc("id")).limit(limit)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("publish_date"), F.desc("id")))
@@ -245,6 +271,7 @@ def search(
     query_vector: list[float] | None = None,
     authority: DataFrame | None = None,
     pack: LanguagePack = CHINESE,
+    index: Index | None = None,
 ) -> DataFrame:
     """The ranked hits of a plan: document and chunk columns, base, score, note, rank.
 
@@ -254,11 +281,11 @@ def search(
     docs = in_collection(docs, members, collection_id)
     queries = plans.query_strings(plan, pack)
     channels = [
-        fulltext_channel(docs, chunks, queries, pack),
-        like_channel(docs, plans.like_terms(plan, pack), ["title", "body", "topics", "keywords"], 1, 2.0, 0.8),
+        fulltext_channel(docs, chunks, queries, pack, index),
+        like_channel(docs, plans.like_terms(plan, pack), ["title", "body", "topics", "keywords"], 1, 2.0, 0.8, attachments=True),
     ]
     if plan.intent == "profile_query":
-        channels.append(like_channel(docs, plans.profile_terms(plan, profile), ["source", "title", "body", "applicable_colleges", "applicable_grades", "student_types"], 3, 0.7, 0.7))
+        channels.append(profile_channel(docs, plans.profile_terms(plan, profile), reduce(DataFrame.unionByName, channels), limit))
     if query_vector and plan.intent not in ("latest_updates", "unknown"):
         channels.append(vector_channel(docs, chunks, query_vector, plan.intent == "attachment_query"))
     recalled = reduce(DataFrame.unionByName, channels)
