@@ -48,3 +48,8 @@ def is_current(embedding: Column, provider: str, model: str, dimensions: int = D
     """Whether a stored embedding struct has the present signature."""
     same = (embedding["provider"] == provider) & (embedding["model"] == model) & (embedding["dim"] == dimensions) & (embedding["version"] == VERSION)
     return F.coalesce(same & embedding["vector"].isNotNull(), F.lit(False))
+
+
+def embedding_text(labelled: dict[str, Column], longest: int = 2400) -> Column:
+    """The labelled lines that are embedded of a chunk."""
+    return F.substring(F.concat_ws("\n", *(F.concat(F.lit(f"{name} "), F.coalesce(value, F.lit(""))) for name, value in labelled.items())), 1, longest)

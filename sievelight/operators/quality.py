@@ -103,3 +103,26 @@ def eval_checks(cases: DataFrame, results: DataFrame, as_of: date) -> DataFrame:
 
 def eval_summary(checked: DataFrame, group: str = "expected_intent") -> DataFrame:
     return checked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"), (F.count_if("passed") / F.count(F.lit(1))).alias("pass_rate"))
+
+
+def embedding_coverage(chunks: DataFrame, provider: str, model: str) -> DataFrame:
+    """One row: chunks, those without a vector, those whose vector has another signature."""
+    from ..functions.vectors import is_current
+
+    missing = F.col("embedding").isNull()
+    return chunks.agg(F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("missing"), F.count_if(~missing & ~is_current(F.col("embedding"), provider, model)).alias("stale"))
+
+
+def chunks_per_document(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def latencies(results: DataFrame, group: str, value: str) -> DataFrame:
+    """Of each group: n, mean, median, greatest, and the value at place ``int(0.95 n)``; from exact counts of distinct values, so a large group isn't gathered."""
+    counts = results.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(group).orderBy(value))
+    total = F.sum("_c").over(Window.partitionBy(group))
+    rows = counts.select(group, F.col(value).alias("_v"), "_c", upto.alias("_upto"), total.alias("_n"))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col("_v")))
+    middle = (at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor((F.col("_n") + 2) / 2))) / 2
+    return rows.groupBy(group).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), middle.alias("median"), F.max("_v").alias("greatest"), at(F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95))).alias("p95"))

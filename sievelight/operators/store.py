@@ -111,6 +111,34 @@ def date_repair(docs: DataFrame, url: str = "url", column: str = "publish_date")
     return docs.filter(~F.contains(F.col(url), F.lit("/demo/"))).withColumn(column, F.coalesce(from_url(F.col(url)), F.col(column)))
 
 
+def evolved(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """``df`` with the columns (name: type, default) that it lacks."""
+    return df.select("*", *(F.lit(default).cast(kind).alias(name) for name, (kind, default) in columns.items() if name not in df.columns))
+
+
+def by_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows with one of the keys."""
+    return df.join(keys, key, "left_semi")
+
+
+def with_attachments(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents that have attachments, newest first."""
+    out = docs.filter(F.size("attachments") > 0).orderBy(F.desc_nulls_last("publish_date"), F.desc("id"))
+    return out.limit(limit) if limit is not None else out
+
+
+def empty_bodies(docs: DataFrame, most: int = 40, least_attached: int = 80) -> DataFrame:
+    """Documents with hardly any body nor attachment text: those to fetch again."""
+    attached = F.aggregate(F.coalesce("attachments", F.array().cast(docs.schema["attachments"].dataType)), F.lit(0), lambda n, a: n + F.length(F.coalesce(a["text"], F.lit(""))))
+    return docs.filter((F.length(F.coalesce("body", F.lit(""))) <= most) & (attached < least_attached))
+
+
+def rescued(docs: DataFrame, fetched: DataFrame, least: int = 80) -> DataFrame:
+    """``docs`` with the body of ``fetched`` (id, body) where that is at least ``least`` long."""
+    new = fetched.filter(F.length("body") >= least).select(F.col("id").alias("_id"), F.col("body").alias("_body"))
+    return docs.join(new, docs["id"] == F.col("_id"), "left").select(*(F.coalesce("_body", docs["body"]).alias("body") if c == "body" else docs[c] for c in docs.columns))
+
+
 class Snapshots:
     """Tables as immutable versions under a folder; the pointer is the newest ``_CURRENT-n`` marker."""
 
