@@ -42,15 +42,38 @@ def apply_rerank(hits: DataFrame, judgements: DataFrame, group: str | None = Non
     return joined.withColumn("new_rank", F.row_number().over(order))
 
 
-def apply_judgements(hits: DataFrame, judgements: DataFrame, limit: int) -> DataFrame:
-    """Like apply_rerank() with evidence labels; a judgement not to keep costs one level, and the best ``limit`` stay."""
-    judged = first_per(judgements, ["id"], ["seq"])
+def apply_judgements(hits: DataFrame, judgements: DataFrame, limit: int, group: str | None = None) -> DataFrame:
+    """Like apply_rerank() with evidence labels; a judgement not to keep costs one level, and the best ``limit`` stay (of each ``group``, if given)."""
+    keys = [group] if group else []
+    judged = first_per(judgements, [*keys, "id"], ["seq"])
     level = F.greatest(F.lit(0), priority(F.col("label"), EVIDENCE_PRIORITY) - F.when(F.col("keep"), 0).otherwise(1))
-    joined = hits.join(judged.select("id", "label", "confidence", "keep"), "id", "left")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(level), F.desc_nulls_last("confidence"), F.desc("score"), "local_rank")
+    joined = hits.join(judged.select(*keys, "id", "label", "confidence", "keep"), [*keys, "id"], "left")
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc_nulls_last(level), F.desc_nulls_last("confidence"), F.desc("score"), "local_rank")
     return joined.withColumn("new_rank", F.row_number().over(order)).withColumn("accepted", F.col("new_rank") <= limit)
 
 
+def judgement_report(applied: DataFrame, group: str) -> DataFrame:
+    """(group, judged, accepted, rejected) of apply_judgements()."""
+    return applied.groupBy(group).agg(F.count_if(F.col("label").isNotNull()).alias("judged"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+
+
+def annotated(note: Column, label: Column, score: Column, can_answer: Column, reason: Column) -> Column:
+    """A hit's note with what the reranker says of it in front."""
+    from ..functions.text import collapsed
+
+    told = F.array_join(F.filter(F.transform(F.slice(can_answer, 1, 5), lambda s: collapsed(s, 20)), lambda s: s != ""), "、")
+    why = collapsed(reason, 120)
+    parts = [F.format_string("AI重排：%s，匹配度 %.2f", label, score), F.when(told != "", F.concat(F.lit("可回答："), told)), F.when(why != "", F.concat(F.lit("原因："), why)), F.nullif(note, F.lit(""))]
+    return F.when(label.isNull(), note).otherwise(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "；"))
+
+
+def client_order(hits: DataFrame, mode: str, group: str) -> DataFrame:
+    """``hits`` (score, publish_date) with ``place`` in the order of a client: ``relevance`` (score, then date) or ``time`` (date, then score); no date is the oldest."""
+    day = F.coalesce(F.unix_date("publish_date"), F.lit(0))
+    order = [F.desc("score"), F.desc(day)] if mode == "relevance" else [F.desc(day), F.desc("score")]
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order, "id")))
+
+
 def within_budget(df: DataFrame, group: list[str], order: list, text: str, budget: int) -> DataFrame:
     """Rows in order until the texts' lengths pass the budget; the first always stays, and what follows an overflow goes."""
     window = Window.partitionBy(*group).orderBy(*order)
@@ -80,16 +103,17 @@ def focused_windows(docs: DataFrame, key: str, text: str, terms: list[str], befo
     return within_budget(best, [key], [F.desc("score"), F.col("start")], "stretch", budget)
 
 
-def fact_cards(facts: DataFrame, most: int = 14, considered: int = 28) -> DataFrame:
-    """Cleaned facts (seq, slot, claim, source_ref, quote, is_direct, confidence, evidence_type): complete ones, each (slot, ref, quote) once, direct and sure ones first."""
+def fact_cards(facts: DataFrame, most: int = 14, considered: int = 28, group: str | None = None) -> DataFrame:
+    """Cleaned facts (seq, slot, claim, source_ref, quote, is_direct, confidence, evidence_type): complete ones, each (slot, ref, quote) once, direct and sure ones first; of each ``group``, if given."""
+    keys = [group] if group else []
     from ..functions.text import compact
 
     rows = facts.filter(F.col("seq") < considered).filter((F.trim(F.coalesce("source_ref", F.lit(""))) != "") & (F.trim(F.coalesce("claim", F.lit(""))) != ""))
     rows = rows.withColumn("quote", F.coalesce(F.nullif(F.trim("quote"), F.lit("")), F.col("claim"))).withColumn("_q", compact(F.col("quote")))
-    once = first_per(rows, ["slot", "source_ref", "_q"], ["seq"]).drop("_q")
+    once = first_per(rows, [*keys, "slot", "source_ref", "_q"], ["seq"]).drop("_q")
     sure = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).when(F.col("confidence") == "low", 1).otherwise(0)
     kind = F.when(F.col("evidence_type").isin("attachment_table_row", "title"), 2).when(F.col("evidence_type") == "body", 1).otherwise(0)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_direct"), F.desc(sure), F.desc(kind), "seq")
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("is_direct"), F.desc(sure), F.desc(kind), "seq")
     return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
@@ -102,20 +126,35 @@ def evidence_type(quote: Column, title: Column, attachments: Column, kind: Colum
     return F.when(q == "", "none").when(F.contains(compact(title), q), "title").when(named, "attachment_name").when(kind.isin("attachment_table_row", "attachment_text"), kind).when(F.contains(compact(body), q), "body").otherwise("none")
 
 
+# What an address in an answer is, and what stands for one that no hit has.
+ADDRESS, REMOVED = r"https?://[^\s)）\]】>,，。；;\"']+", "[未收录链接已移除]"
+
+
 def allowed_urls(answers: DataFrame, hits: DataFrame, answer: str = "answer") -> DataFrame:
-    """``answers`` (id, answer) with every URL that no hit or attachment has taken out.  ``hits`` (id, url, attachments)."""
-    urls = hits.select("id", F.explode(F.concat(F.array("url"), F.transform("attachments", lambda a: a["url"]))).alias("u")).groupBy("id").agg(F.collect_set("u").alias("allowed"))
-    found = F.array_distinct(F.regexp_extract_all(F.col(answer), F.lit(r"https?://[^\s)\]】>，。；]+"), F.lit(0)))
-    bad = F.filter(found, lambda u: ~F.array_contains(F.coalesce("allowed", F.array().cast("array<string>")), u))
-    longest_first = F.array_sort(bad, lambda a, b: F.length(b) - F.length(a))
-    cleaned = F.aggregate(longest_first, F.col(answer), lambda text, u: F.replace(text, u, F.lit("")))
-    return answers.join(urls, "id", "left").withColumn(answer, cleaned).drop("allowed")
-
-
-def cited_first(hits: DataFrame, citations: DataFrame) -> DataFrame:
-    """``hits`` (id, rank) with the cited ones (id, cite_rank) first, otherwise as they were."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("cite_rank"), "rank")
-    return hits.join(citations, "id", "left").withColumn("new_rank", F.row_number().over(order))
+    """``answers`` (id, answer) with every address replaced that no hit or attachment has, and ``n_removed``.  ``hits`` (id, url, attachments)."""
+    none = F.array().cast("array<string>")
+    urls = hits.select("id", F.explode(F.concat(F.array("url"), F.transform("attachments", lambda a: a["url"]))).alias("u")).filter("u <> ''").groupBy("id").agg(F.collect_set("u").alias("_allowed"))
+    rows = answers.join(urls, "id", "left")
+    said = F.regexp_extract_all(F.coalesce(F.col(answer), F.lit("")), F.lit(ADDRESS), F.lit(0))
+    good = lambda u: F.array_contains(F.coalesce("_allowed", none), F.regexp_replace(u, r"\.+$", ""))
+    mended = F.transform(said, lambda u: F.when(good(u), u).otherwise(REMOVED))
+    between = F.split(F.coalesce(F.col(answer), F.lit("")), ADDRESS, -1)
+    whole = F.array_join(F.flatten(F.zip_with(between, mended, lambda t, u: F.array(t, F.coalesce(u, F.lit(""))))), "")
+    removed = F.size(F.array_distinct(F.filter(said, lambda u: ~good(u))))
+    return rows.withColumn("n_removed", removed).withColumn(answer, whole).drop("_allowed")
+
+
+def restricted_evidence(evidence: DataFrame, hits: DataFrame) -> DataFrame:
+    """``evidence`` (answer_id, source_id, quote) of hits only, with their title, url and source in place of what the model said."""
+    own = hits.select(F.col("id").alias("source_id"), "title", "url", "source")
+    return evidence.select("answer_id", "source_id", "quote").join(own, "source_id")
+
+
+def cited_first(hits: DataFrame, citations: DataFrame, group: str | None = None) -> DataFrame:
+    """``hits`` (id, rank) with the cited ones (id, cite_rank) first, otherwise as they were; within each ``group``, if given."""
+    keys = [group] if group else []
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.asc_nulls_last("cite_rank"), "rank")
+    return hits.join(citations, [*keys, "id"], "left").withColumn("new_rank", F.row_number().over(order))
 
 
 def warnings(hits: DataFrame, as_of, top: int = 5) -> DataFrame:
