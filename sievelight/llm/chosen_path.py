@@ -38,7 +38,7 @@ TREES, ROOT_TOKENS, ROOT_BRANCHES, BRANCHES, LEVELS = 3, 8, 4, 2, 2
 #: Root tokens that a document must have in common with any others to have a partner at all, and those in small nodes that suffice.
 NEED, ENOUGH = 8, 8
 #: A node is compared exhaustively with at most LEAF squared pairs, or LINEAR for each of its documents.
-LEAF, LINEAR = 32, 12
+LEAF, LINEAR = 24, 4
 #: Documents of a node that is branched on last.
 LARGE = 64
 #: Share of equal tokens from which a pair is confirmed: four and a half standard deviations under 0.75.
@@ -255,7 +255,9 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, percent: int) -> Dat
 
     groups = named.select("set_id", "least", "id").join(final, F.col("id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "id").alias("component"))
     best = groups.groupBy("component").agg(F.min(F.struct("least.no_key", "least.key", "set_id")).alias("best"))
-    groups = written(groups.join(best, "component").select(F.col("set_id").alias("_set"), "best"))
+    # another key than the aggregate's: the join then has exchanges right below it on both sides, and AQE can split a hot component
+    best = best.select(F.col("component").bitwiseXOR(F.lit(1)).alias("_key"), "best")
+    groups = written(groups.join(best, F.col("component").bitwiseXOR(F.lit(1)) == F.col("_key")).select(F.col("set_id").alias("_set"), "best"))
     forget(nodes)
     rows = told.join(groups, F.col("set_id") == F.col("_set"), "left")
     component = F.when(F.col("best").isNull(), F.col(key)).otherwise(F.col("best.key"))
@@ -298,7 +300,9 @@ def _all_links(nodes: DataFrame, sets: _Sets) -> DataFrame:
         # whoever isn't of the largest component meets all of another one; the largest never meets itself
         outside = small.filter("component != major").select("path", F.col("id").alias("x"), "component")
         other = small.select("path", F.col("id").alias("y"), F.col("component").alias("other"))
-        pairs = outside.join(other, "path").filter("component != other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(_stars(large))
+        pairs = outside.join(other, "path").filter("component != other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        if level < LEVELS - 1:  # at the last one the exact join sees to large nodes
+            pairs = pairs.union(_stars(large))
         found = pairs if found is None else found.union(pairs)
         if large.isEmpty():
             break
