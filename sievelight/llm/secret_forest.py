@@ -93,13 +93,11 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     i = F.col("id")
 
     def text(alphabet: str, length: Column | int, seed: int) -> Column:
-        letters = F.array(*map(F.lit, alphabet))
         picks = F.sequence(F.lit(1), F.lit(length) if isinstance(length, int) else length)
-        return F.array_join(F.transform(picks, lambda k: F.get(letters, F.pmod(F.xxhash64(i, k, F.lit(seed)), F.lit(len(alphabet))).cast("int"))), "")
+        return F.array_join(F.transform(picks, lambda k: F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(i, k, F.lit(seed)), F.lit(len(alphabet))) + 1).cast("int"), 1)), "")
 
     def of(words: str, seed: int) -> Column:
-        listed = F.array(*map(F.lit, words.split()))
-        return F.get(listed, F.pmod(F.xxhash64(i, F.lit(seed)), F.size(listed)).cast("int"))
+        return F.get(F.split(F.lit(words), " "), F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(len(words.split()))).cast("int"))
 
     hexes, alnum, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     size = (F.pmod(F.xxhash64(i, F.lit(1)), F.lit(28)) + 16).cast("int")
@@ -167,9 +165,22 @@ def _parts(found: Column) -> Column:
     return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), lead.alias("lead"), value.alias("value"))
 
 
+def _has_candidate(text: Column) -> Column:
+    """Whether CANDIDATE matches anywhere: each of its alternatives is only looked for in texts with a literal that it can't do without."""
+
+    def alternative(pattern: str, *literals: str) -> Column:
+        found = F.rlike(text, F.lit(pattern))
+        for needed in reversed(literals):
+            found = F.contains(text, F.lit(needed)) & found
+        return found
+
+    named = f"(?i:{ASSIGNED})"
+    return alternative(KEY_BLOCK, "-----BEGIN") | alternative(ADDRESS, "://") | alternative(BEARER, "earer") | alternative(named, "=") | alternative(named, ":") | F.rlike(text, F.lit(LONG))
+
+
 def _candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, _mark, _mark2, start, end, before, value, after of every candidate in the whole texts."""
-    rows = marked(df, key, text).filter(F.rlike(F.col(text), F.lit(CANDIDATE)))
+    rows = marked(df, key, text).filter(_has_candidate(F.col(text)))
     found = rows.select(key, "_mark", "_mark2", F.col(text).alias("_text"), F.explode(F.transform(matches(F.col(text), CANDIDATE), _parts)).alias("m"))
     return found.select(
         key,
