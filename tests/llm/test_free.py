@@ -284,6 +284,32 @@ def test_repeated_runs_against_brute_force():
         assert host_suffixes.repeated(pages, same, 4, 3) == want
 
 
+def test_runs_of_three_pages_whatever_the_groups(spark, monkeypatch):
+    rnd = random.Random(12)
+    runs = [[f"r{k}w{j}" for j in range(8 + k)] for k in range(12)]
+    blocks = [[f"own{i}a{j}" for j in range(rnd.randrange(1, 5))] for i in range(90)]
+    for k, r in enumerate(runs):
+        for i in rnd.sample(range(90), 2 + k % 2):  # on two pages or on three
+            blocks[i] += [*r, f"gap{i}g{k}"]
+    blocks.append(["seen", *"a banner that is one whole block on three pages".split(), "here"])
+    pages = [[b] for b in blocks] + [["a banner that is one whole block on three pages".split(), [f"rest{i}"]] for i in range(3)]
+    held = defaultdict(set)
+    for p, page in enumerate(pages):
+        for b in page:
+            for i in range(len(b) - 7):
+                held[tuple(b[i : i + 8])].add(p)
+    gone = lambda b, i: any(0 <= k <= len(b) - 8 and len(held[tuple(b[k : k + 8])]) >= 3 for k in range(i - 7, i + 1))
+    want = ["\n".join(filter(None, (" ".join(w for i, w in enumerate(b) if not gone(b, i)) for b in page))) for page in pages]
+    assert want[90] == "seen here" and any("r1w0" in b and "r1w0" not in w for b, w in zip(blocks, want)) and any("r0w0" in w for w in want)
+    pages, want = pages + pages[:40] * 3, want + want[:40] * 3  # copies count once
+    rows = [(i if i % 9 else None, f"https://h.org/{i}", "".join(f"<div>{' '.join(b)}</div>" for b in page)) for i, page in enumerate(pages)]
+    df = spark.createDataFrame([*rows, (1000, "https://other.org", "<p>" + " ".join(runs[0]) + "</p>")], "page_id long, url string, html string").repartition(3)
+    for group, most in ((128, 500_000), (7, 0), (1, 500_000)):
+        monkeypatch.setattr(host_suffixes, "MOST_HOSTS", most)
+        got = {r["url"]: r["text"] for r in host_suffixes.main_text(df, group=group).collect()}
+        assert got == {f"https://h.org/{i}": w for i, w in enumerate(want)} | {"https://other.org": " ".join(runs[0])}, group
+
+
 def test_deep_and_unclosed_markup_in_linear_time():
     import time
 
