@@ -101,3 +101,16 @@ def test_plan_terms():
     assert plans.time_scope("19届毕业") == "2019" and plans.time_scope("近两年政策") == "recent_2y" and plans.time_scope("2023级") is None
     assert plans.normalised({}, "四六级报名").retrieval_keywords[0] == "四六级报名"
     assert plans.is_generic("通知") and not plans.is_generic("转专业", CHINESE)
+
+
+def test_index_text_is_whole(spark):
+    long = " ".join(f"w{n}" for n in range(3000))
+    assert one(spark, text.segmented, long).split(" ")[-1] == "w2999" and len(one(spark, text.segmented, long).split(" ")) == 3000
+    for made in (chunking.parts("", long, []), chunking.parts("", "", [{"name": "f", "text": long}])[1:], chunking.parts("", "", [{"name": "f", "pages": [{"page": 1, "text": long}]}])[1:]):
+        assert {w for p in made for w in p[0].split(" ")} >= set(long.split(" ")) and all(len(p[0]) <= chunking.LONGEST for p in made)
+    none = F.array().cast("array<string>")
+    row = spark.createDataFrame([(1, "t", long + " end", [])], "id long, title string, body string, attachments array<struct<name:string,url:string,text:string,pages:array<struct<page:int,text:string>>>>")
+    row = row.select("*", F.lit("s").alias("source"), F.lit("c").alias("category"), F.lit(None).cast("date").alias("publish_date"), *(none.alias(c) for c in ("topics", "keywords", "applicable_colleges", "applicable_grades", "student_types")))
+    row = row.withColumn("keywords", F.split(F.lit(long), " "))
+    found = [r["search_text"] for r in chunking.indexed(row).collect()]
+    assert all("w2999\n标签" in t for t in found) and any("end\n分词 " in t for t in found) and all(t.index("分词 ") < t.rindex(" w2999") for t in found)
