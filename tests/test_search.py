@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from sievelight.operators import chunking, fulltext, judging, quality, search, store
+from sievelight.operators import chunking, fulltext, index, judging, quality, search, store
 from sievelight.plans.query_plan import QueryPlan, UserProfile
 
 AS_OF = date(2024, 2, 1)
@@ -110,3 +110,21 @@ def test_stats(spark):
     row = quality.index_stats(d, chunking.chunk_documents(d)).first()
     assert (row["documents"], row["chunks"], row["attachments"]) == (2, 2, 0)
     assert quality.verdict(0.01, 0.9, 0.5, 0.3) == (75, ["topics"])
+
+
+def test_index_has_all_postings_and_deals_out_no_texts(spark, tmp_path):
+    d = docs(spark, ("Red apple", "an apple a day\nkeeps the doctor away"), ("pear", "green pear and apple_pie " * 400), ("", ""))
+    chunks = chunking.indexed(d)
+    built = index.build(d, chunking.indexed(d, own=index.own()), f"file://{tmp_path}/a")
+    fields = list(fulltext.CHUNK_WEIGHTS)
+    full = chunks.join(d.select(F.col("id").alias("document_id"), "title", "source", F.array_join("topics", " ").alias("topics")), "document_id")
+    want = fulltext.postings(full, "chunk_id", fields)
+    told = lambda rows: sorted((r["chunk_id"], r["field"], r["term"], r["tf"], tuple(r["positions"])) for r in rows.collect())
+    terms = [r["term"] for r in want.select("term").distinct().collect()]
+    assert told(built.postings(terms)) == told(want)
+    assert sorted(built.lengths().collect()) == sorted(fulltext.lengths(full, "chunk_id", fields).collect())
+    assert built.chunks().columns == chunks.columns
+    assert told(index.build(d, chunks, f"file://{tmp_path}/b").postings(terms)) == told(want)
+    assert "Exchange" not in chunking.indexed(d, own=index.own())._jdf.queryExecution().executedPlan().toString()
+    again = index.refreshed(built, d, d.select("id").limit(1), f"file://{tmp_path}/c", chunking.indexed)
+    assert told(again.postings(terms)) == told(want)
