@@ -114,3 +114,12 @@ def test_index_text_is_whole(spark):
     row = row.withColumn("keywords", F.split(F.lit(long), " "))
     found = [r["search_text"] for r in chunking.indexed(row).collect()]
     assert all("w2999\n标签" in t for t in found) and any("end\n分词 " in t for t in found) and all(t.index("分词 ") < t.rindex(" w2999") for t in found)
+
+
+def test_the_title_is_made_once_a_row(spark):
+    lines = F.split("b", "\n")
+    df = spark.createDataFrame([("Some long title\n2024-01-01\nSome long title\ntext", "Some  long title"), ("text", "")], "b string, t string")
+    head = df.select(cleaning.below_head(lines, F.concat("t", F.lit(" "))).alias("l"))
+    assert [r["l"] for r in head.collect()] == [["Some long title", "text"], ["text"]]
+    for made in (head, df.select(cleaning.clean_body(F.col("b"), F.concat("t", F.lit(" ")))), df.select(cleaning.from_title(lines, F.concat("t", F.lit(" "))))):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("concat(t#") == 1
