@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +138,10 @@ def parse(url: str, page: str | None, site: str = "") -> dict:
                 attachments.setdefault(target, {"name": told[:160], "url": target})
             elif urlsplit(target).netloc == urlsplit(url).netloc and not re.search(r"/_upload/|/_t|/main\.htm", target):
                 links.append(target)
-    return {"title": title_of(root, site), "containers": [{"weight": w, "text": t} for w, t in containers(root)], "links": list(dict.fromkeys(links)), "attachments": list(attachments.values())}
+    out = {"title": title_of(root, site), "containers": [{"weight": w, "text": t} for w, t in containers(root)], "links": list(dict.fromkeys(links)), "attachments": list(attachments.values())}
+    for node in list(root.walk()):
+        node.parent = None  # so the tree goes at once, without the collector of cycles
+    return out
 
 
 def main_text(found: Column, title: Column, pack: LanguagePack) -> Column:
@@ -170,10 +172,8 @@ def page_kind(url: Column, body: Column, container: Column) -> Column:
 def parsed(pages: DataFrame, pack: LanguagePack = CHINESE, url: str = "url", content: str = "html") -> DataFrame:
     """``pages`` with title, body, links (same host), attachments and the page's kind; only the tree is read in Python."""
 
-    @F.pandas_udf(PAGE)
-    def read(urls: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(u or "", c, pack.institution) for u, c in zip(urls, contents, strict=True)], columns=["title", "containers", "links", "attachments"])
-
+    # not in Arrow batches, which hold thousands of pages and their containers at once
+    read = F.udf(lambda at, page: parse(at or "", page, pack.institution), PAGE, useArrow=False)
     out = pages.withColumn("_p", read(F.col(url), F.col(content))).withColumn("_main", main_text(F.col("_p.containers"), F.col("_p.title"), pack))
     return out.select(*(F.col(f"`{c}`") for c in pages.columns), "_p.title", F.col("_main.text").alias("body"), "_p.links", "_p.attachments", page_kind(F.col(url), F.col("_main.text"), F.col("_main.container")).alias("kind"))
 

@@ -72,3 +72,9 @@ def test_entry_works_without_the_corpus_operators():
 
     code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith(('sievelight.llm', 'corpus_pipeline')) else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_pages_are_read_in_small_batches(spark):
+    pages_read = pages.parsed(spark.createDataFrame([("https://x.org/", PAGE)], "url string, html string"), LATIN)
+    plan = pages_read._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
