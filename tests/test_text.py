@@ -1,9 +1,11 @@
+import hashlib
+import math
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from sievelight.functions import dates, text, vectors
-from sievelight.lexicon import CHINESE
+from sievelight.lexicon import CHINESE, LATIN
 from sievelight.operators import chunking, enrich
 from sievelight.operators import cleaning
 from sievelight.plans import query_plan as plans
@@ -123,3 +125,20 @@ def test_the_title_is_made_once_a_row(spark):
     assert [r["l"] for r in head.collect()] == [["Some long title", "text"], ["text"]]
     for made in (head, df.select(cleaning.clean_body(F.col("b"), F.concat("t", F.lit(" ")))), df.select(cleaning.from_title(lines, F.concat("t", F.lit(" "))))):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("concat(t#") == 1
+
+
+def test_keywords_and_hashes_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "Beta title", "alpha beta alpha gamma Beta 123 2024 é_x"), (2, None, None)], "id long, title string, t string")
+    words = enrich.keywords(df, "id", "title", "t", LATIN)
+    assert [(r["term"], r["weight"]) for r in words.orderBy("place").collect()] == [("Beta", 6), ("title", 3), ("alpha", 2), ("beta", 1), ("gamma", 1), ("2024", 1)]
+    made = vectors.hash_embeddings(df, "id", "t")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (words, made)]
+    assert all("Exchange" not in p and "BatchEvalPython" in p for p in plans)
+    out = {r["id"]: r["vector"] for r in made.collect()}
+    weights = {}
+    for token, n in {"alpha": 2, "beta": 2, "gamma": 1, "123": 1, "2024": 1, "_x": 1}.items():
+        digest = hashlib.sha256(token.encode()).hexdigest()
+        i = int(digest[:8], 16) % 128
+        weights[i] = weights.get(i, 0) + (1 if int(digest[8:10], 16) % 2 == 0 else -1) * math.log1p(n)
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    assert all(abs(x - weights.get(i, 0) / norm) < 1e-6 for i, x in enumerate(out[1])) and out[2] == [0.0] * 128
