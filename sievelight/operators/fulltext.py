@@ -29,10 +29,13 @@ def postings(df: DataFrame, key: str, fields: list[str], terms: DataFrame | None
     return places.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
-def term_counts(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, term, tf): postings() without positions."""
+def term_counts(df: DataFrame, key: str, fields: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(key, field, term, tf): postings() without positions, which is all that phrases of one term need."""
     tokens = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), index_tokens(F.col(f)).alias("tokens")) for f in fields)))
-    return df.select(key, tokens.alias("t")).select(key, "t.field", F.explode("t.tokens").alias("term")).groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    places = df.select(key, tokens.alias("t")).select(key, "t.field", F.explode("t.tokens").alias("term"))
+    if terms is not None:
+        places = places.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return places.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -55,9 +58,14 @@ def queries_frame(spark, queries: dict[int, str], pack: LanguagePack = CHINESE)
 
 
 def phrase_counts(index: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """(query_id, phrase_id, key, field, tf): occurrences of whole phrases, each term one behind the other in one field."""
+    """(query_id, phrase_id, key, field, tf): occurrences of whole phrases, each term one behind the other in one field.
+
+    An ``index`` without positions (term_counts) is for phrases of one term.
+    """
     hits = index.join(F.broadcast(phrases), "term")
     single = hits.filter("size = 1").select("query_id", "phrase_id", key, "field", F.col("tf").cast("bigint").alias("tf"))
+    if "positions" not in index.columns:
+        return single
     starts = hits.filter("size > 1").select("query_id", "phrase_id", key, "field", "size", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
     whole = starts.groupBy("query_id", "phrase_id", key, "field", "size", "start").count().filter("count = size")
     return single.unionByName(whole.groupBy("query_id", "phrase_id", key, "field").agg(F.count(F.lit(1)).alias("tf")))
@@ -72,15 +80,20 @@ def bm25(index: DataFrame, sizes: DataFrame, phrases: DataFrame, key: str, weigh
     weight = F.lit(0.0)
     for field, w in weights.items():
         weight = F.when(F.col("field") == field, F.lit(float(w))).otherwise(weight)
-    found = phrase_counts(index, phrases, key).groupBy("query_id", "phrase_id", key).agg(F.sum(weight * F.col("tf")).alias("f"))
+    # each phrase is found and scored once, however many queries have it; then each query adds up its own
+    told = phrases.groupBy("query_id", "phrase_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", "size"))).alias("words"))
+    told = told.select("query_id", F.array_join("words.term", " ").alias("phrase"), "words")
+    once = told.groupBy("phrase").agg(F.first("words").alias("words")).select(F.lit(0).alias("query_id"), F.col("phrase").alias("phrase_id"), F.inline("words"))
+    found = phrase_counts(index, once, key).groupBy("phrase_id", key).agg(F.sum(weight * F.col("tf")).alias("f"))
     corpus = corpus or sizes.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("average"))
-    counts = found.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("n_with"))
+    counts = found.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("n_with"))
     idf = F.log((F.col("n_rows") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     # one row of corpus statistics and one row per phrase: bounded by the query
-    scored = found.join(F.broadcast(counts), ["query_id", "phrase_id"]).join(sizes, key).crossJoin(F.broadcast(corpus))
-    return scored.groupBy("query_id", key).agg((-F.sum(part)).alias("rank"))
+    scored = found.join(F.broadcast(counts), "phrase_id").join(sizes, key).crossJoin(F.broadcast(corpus)).select("phrase_id", key, part.alias("part"))
+    asked = told.select("query_id", F.col("phrase").alias("phrase_id"))
+    return scored.join(F.broadcast(asked), "phrase_id").groupBy("query_id", key).agg((-F.sum("part")).alias("rank"))
 
 
 def top_hits(ranks: DataFrame, key: str, most: int = HITS) -> DataFrame:

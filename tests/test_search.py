@@ -128,3 +128,12 @@ def test_index_has_all_postings_and_deals_out_no_texts(spark, tmp_path):
     assert "Exchange" not in chunking.indexed(d, own=index.own())._jdf.queryExecution().executedPlan().toString()
     again = index.refreshed(built, d, d.select("id").limit(1), f"file://{tmp_path}/c", chunking.indexed)
     assert told(again.postings(terms)) == told(want)
+
+
+def test_phrases_of_one_term_need_no_positions(spark):
+    df = spark.createDataFrame([(1, "red apple apple", "red"), (2, "green pear", "apple"), (3, "none", "")], "id long, title string, body string")
+    weights = {"title": 4.0, "body": 1.0}
+    phrases = fulltext.queries_frame(spark, {0: "apple pear", 1: "apple", 2: "red none"})
+    ranks = [fulltext.bm25(made(df, "id", list(weights), phrases), fulltext.lengths(df, "id", list(weights)), phrases, "id", weights) for made in (fulltext.postings, fulltext.term_counts)]
+    told = [sorted((r["query_id"], r["id"], round(r["rank"], 9)) for r in x.collect()) for x in ranks]
+    assert told[0] == told[1] and [x[:2] for x in told[0]] == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 3)]
