@@ -142,3 +142,11 @@ def test_keywords_and_hashes_need_no_shuffle(spark):
         weights[i] = weights.get(i, 0) + (1 if int(digest[8:10], 16) % 2 == 0 else -1) * math.log1p(n)
     norm = math.sqrt(sum(w * w for w in weights.values()))
     assert all(abs(x - weights.get(i, 0) / norm) < 1e-6 for i, x in enumerate(out[1])) and out[2] == [0.0] * 128
+
+
+def test_few_navigation_terms_are_summed(spark):
+    df = spark.createDataFrame([("Home About me",), ("",), (None,)], "l string")
+    made = df.select(cleaning.nav_terms(F.col("l"), LATIN).alias("n"))
+    assert [r["n"] for r in made.collect()] == [2, 0, 0] and "filter(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    body = "Home\nAbout\nContact\nLogin\nSitemap\nHome\nA title of the page\ntext"
+    assert df.limit(1).select(cleaning.from_title(F.split(F.lit(body), "\n"), F.lit("A title of the page"), LATIN).alias("x")).first()["x"] == ["A title of the page", "text"]
